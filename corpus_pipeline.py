@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelith.llm import simhash
+from voxelith.llm import line_dedup, packing, quality, scratch, simhash, toxicity
+from voxelith.llm.queries import read, vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.cleaned(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
 
 STAGES = [
-    ("near_duplicates", lambda spark, docs, sf_dir: simhash.one_of_each(docs)),
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("line_dedup", spread_lines),
+    ("near_duplicates", near_duplicates),
+    ("packing", packed),
 ]
 
 #: No stage with a learned model can be put in SQL.
@@ -15,4 +41,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply the stages to documents; each result is written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return docs
