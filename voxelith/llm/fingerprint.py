@@ -15,16 +15,22 @@ SPAN = 2.0 ** 64
 
 
 def words(text: Column) -> Column:
-    """Lower-case (A-Z) words between blanks; none for null."""
+    """Hashes of the lower-case (A-Z) words between blanks; none for null."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(F.coalesce(low, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.transform(F.filter(F.split(F.coalesce(low, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def sketch(w: Column, k: int = K, n: int = WORDS) -> Column:
-    """Bottom-k sketch of an array of words; fewer than ``n`` words are one shingle, none give an empty sketch."""
-    hashed = F.transform(w, lambda x: F.xxhash64(x))
-    parts = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < n, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(hashed, i + j) for j in range(n)))))
+    """Bottom-k sketch of an array of word hashes; fewer than ``n`` words are one shingle, none give an empty sketch.
+
+    ``w`` should be a column of a table, not an expression, which would be evaluated for every use. Shifted copies of it
+    are zipped, so the work is linear in the words.
+    """
+    count = F.size(w) - n + 1
+    parts = F.slice(w, F.lit(1), F.greatest(count, F.lit(0)))
+    for j in range(1, n):
+        parts = F.zip_with(parts, F.slice(w, F.lit(j + 1), F.greatest(count, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    parts = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(count < 1, F.array(F.xxhash64(w))).otherwise(parts)
     return F.slice(F.sort_array(F.array_distinct(parts)), 1, k)
 
 

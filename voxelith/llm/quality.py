@@ -59,9 +59,13 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(STATS)
-def stats(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([statistics(t) for t in text], columns=[c.split()[0] for c in STATS.split(", ")])
+def stats(text: Column) -> Column:
+    """The columns of ``STATS`` as a struct."""
+    @F.pandas_udf(STATS)
+    def measured(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t) for t in text], columns=[c.split()[0] for c in STATS.split(", ")])
+
+    return measured(text)
 
 
 #: What rules may test, as Spark SQL over the statistics; a rate over nothing is 0.
