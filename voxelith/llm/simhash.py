@@ -11,6 +11,7 @@ Candidates are then verified on the whole fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ WIDE = 48
 BLOCK = 1 << 16
 
 
+@cache
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By syndrome: the error pattern of up to three bits; six offsets of codeword indices, and how many of them count.
     By 12 message bits: the 11 check bits."""

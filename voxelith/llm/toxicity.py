@@ -156,9 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             for t, y in zip(b["text"], b["toxic"], strict=True):
                 (yes if y else no).update(features(t))
-        yield pd.DataFrame({"f": list(yes), "yes": list(yes.values()), "no": [no[f] for f in yes]})
-        rest = [f for f in no if f not in yes]
-        yield pd.DataFrame({"f": rest, "yes": np.zeros(len(rest), np.int64), "no": [no[f] for f in rest]})
+        found = list(yes | no)  # an empty frame would have no string column
+        if found:
+            yield pd.DataFrame({"f": found, "yes": [yes[f] for f in found], "no": [no[f] for f in found]})
 
     counts = rows.select("text", "toxic").mapInPandas(count, "f string, yes bigint, no bigint").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     found = counts.where((F.col("yes") >= SUPPORT) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no")))).orderBy(F.desc(F.col("yes") - 4 * F.col("no")), "f").limit(CANDIDATES).collect()
