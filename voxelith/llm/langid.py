@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import scratch
 from .split import about, held_out
 
 # First code points of script blocks, in order; "" is shared or unlisted.
@@ -30,7 +31,7 @@ SAMPLE, LANGUAGES = 3000, 256
 SWITCH = 8.0
 #: A script counts as a language's if so much of its words are in it.
 SHARE = 0.01
-KNOWN = 400_000
+KNOWN = 150_000
 UNKNOWN = "und"
 
 
@@ -137,7 +138,7 @@ def fit(docs: DataFrame) -> Model:
     The sample is the bound on what is learned from; counting it is one distributed aggregation into a fixed number of
     buckets. With no labelled row the model knows no language and answers ``und``.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     names = sorted(counts)
     if not names:
@@ -196,7 +197,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 out["spans"] = [[{"start": a, "end": z, "lang": l} for a, z, l in x[2]] for x in found]
             yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

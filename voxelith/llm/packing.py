@@ -23,7 +23,7 @@ END = 1
 #: Pieces of one length that are numbered together.
 SLICE = 50_000
 #: Distinct words that a worker remembers; it starts anew beyond that.
-KNOWN = 500_000
+KNOWN = 150_000
 #: Signs that end a word and never join with letters in a pre-token.
 CLOSING = ".,!?#*$%&"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
 
 
 def fullest(room: int, lengths: list[int], count: dict[int, int]) -> list[tuple[int, int]]:

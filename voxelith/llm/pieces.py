@@ -16,11 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import scratch
+
 MARK = "▁"
 #: A run of marks and what follows up to the next mark.
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words that a worker remembers; it starts anew beyond that.
-KNOWN = 300_000
+KNOWN = 150_000
 #: Longer words are not remembered.
 LONG = 64
 
@@ -145,7 +147,7 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                     out["ids"] = [x.astype(np.int32) for x in found]
                 yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

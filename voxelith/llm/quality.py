@@ -178,7 +178,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> list[tuple[Literal, ...]]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), stats(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
+    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), stats(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,6 +29,14 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, whose session from now on sends Python workers at most ``rows`` rows at once: whole texts can be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

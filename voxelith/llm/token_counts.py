@@ -38,7 +38,7 @@ def lengths(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFra
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "n_tokens": np.array([len(encode(t)) if t else 0 for t in b["text"]], np.int64)})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def histogram(counts: DataFrame) -> DataFrame:

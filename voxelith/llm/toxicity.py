@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import scratch
 from .split import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -22,7 +23,7 @@ SAMPLE, CANDIDATES, VOTERS = 16_000, 4000, 400
 STEMS = (4, 5, 6)
 #: A candidate's least number of toxic texts and share of them; voters that each toxic text should have.
 SUPPORT, PRECISION, COVER = 4, 0.8, 4
-ROUNDS, KNOWN = 40, 500_000
+ROUNDS, KNOWN = 40, 100_000
 
 
 def features(text: str | None) -> set[str]:
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     y = F.col("toxic").cast("int")
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), y.alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,11 +199,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     Null, empty and wordless texts get the score of a text on which no voter speaks. Repeated rows are each scored; an
     empty table gives an empty table.
     """
-    s = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_udf(model)(F.col("text").cast("string")).alias("score"))
+    s = scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), score_udf(model)(F.col("text").cast("string")).alias("score"))
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, all columns."""
     model = fit(docs, labels)
-    return docs.where(score_udf(model)(F.col("text").cast("string")) < 0.5)
+    return scratch.small_batches(docs).where(score_udf(model)(F.col("text").cast("string")) < 0.5)
