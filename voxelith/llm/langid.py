@@ -39,10 +39,14 @@ def script(word: str) -> str:
     return SCRIPTS[bisect_right(_FIRST, ord(word[0])) - 1][1]
 
 
-def grams(word: str) -> list[int]:
-    """Hash buckets of the 1- to 4-grams of a marked word."""
-    b = f"^{word[:64]}$"
-    return [zlib.crc32(b[i:i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(b) - n + 1)]
+def grams(word: str) -> np.ndarray:
+    """Hash buckets of the 1- to 4-grams of a marked word: each length's hashes go on from those of the length before."""
+    letters = [c.encode("utf-8", "surrogatepass") for c in f"^{word[:64]}$"]
+    hashes = out = list(map(zlib.crc32, letters))
+    for n in (1, 2, 3):
+        hashes = list(map(zlib.crc32, letters[n:], hashes))
+        out = out + hashes
+    return np.array(out, np.int64) % BUCKETS
 
 
 @dataclass
@@ -60,14 +64,20 @@ class Model:
         self.languages, self.logs, self.scripts = state
         self.known, self.table = {}, None
 
-    def word(self, w: str) -> np.ndarray:
-        """Log-odds of one word for each language; none for a script that no language uses."""
-        s = script(w)
-        own = np.array([s in x for x in self.scripts])
-        if not own.any():
-            return np.zeros(len(own))
-        scores = self.logs[grams(w)].mean(0) * min(len(w), 8)
-        return np.where(own, scores - scores[own].max(), -20.0)
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log-odds of each word for each language; none for a script that no language uses."""
+        users = {s: [s in x for x in self.scripts] for s in {script(w) for w in words}}
+        out = np.zeros((len(words), len(self.languages)))
+        for at in range(0, len(words), 2048):
+            part = words[at:at + 2048]
+            found = [grams(w) for w in part]
+            n = np.array([len(g) for g in found])
+            scores = np.add.reduceat(self.logs[np.concatenate(found)], np.cumsum(n) - n, 0)
+            scores *= (np.minimum([len(w) for w in part], 8) / n)[:, None]
+            own = np.array([users[script(w)] for w in part])
+            top = np.where(own, scores, -np.inf).max(1, keepdims=True)
+            out[at:at + len(part)] = np.where(own.any(1, keepdims=True), np.where(own, scores - top, -20.0), 0.0)
+        return out
 
     def scores(self, words: list[str]) -> np.ndarray:
         get, new = self.known.get, []
@@ -80,7 +90,7 @@ class Model:
             new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i < 0))
             base = len(self.known)
             self.known.update((w, base + i) for i, w in enumerate(new))
-            rows = np.array([self.word(w) for w in new])
+            rows = self.rows(new)
             if self.table is None or base + len(new) > len(self.table):
                 grown = np.zeros((max(1024, 2 * (base + len(new))), len(self.languages)))
                 if base:
@@ -161,7 +171,7 @@ def fit(docs: DataFrame) -> Model:
                     if w not in cache:
                         if len(cache) > KNOWN // 4:
                             cache.clear()
-                        cache[w] = np.array(grams(w)), kinds.index(script(w))
+                        cache[w] = grams(w), kinds.index(script(w))
                     g, k = cache[w]
                     np.add.at(grid[l], g, 1) if len(g) > 200 else grid[l].__setitem__(g, grid[l][g] + 1)
                     seen[l, k] += 1
