@@ -40,20 +40,28 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.byte.items()}
         whole = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {self.text[i]: i for i in whole}
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         self.rank = {self.text[i]: sp.get_score(i) for i in whole}
-        self.longest = max(map(len, self.id))
+        self.ending: dict[str, int] = {}  # by last two characters: length of the longest piece that ends so
+        for p in self.id:
+            self.ending[p[-2:]] = max(len(p), self.ending.get(p[-2:], 0))
+        self.bytes = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode() for i in range(n)]
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.id)  # no piece has a mark after a letter
         self.clean: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none is left: for short texts."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.rank.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in self.rank:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        parts, rank, none = list(text), self.rank.get, -np.inf
+        joins = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joins and (best := max(joins)) > none:
+            i = joins.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(joins):
+                joins[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def fits(self, left: str, right: str) -> bool:
@@ -67,18 +75,20 @@ class Pieces:
 
     def step(self, word: str, j: int, last: list[str]) -> str:
         """The last piece of the encoding of ``word[:j]``, from those of shorter prefixes."""
-        for n in range(min(self.longest, j), 1, -1):
+        if j == 1:
+            return word[0]
+        clean, pieces = self.clean.get, self.id
+        for n in range(min(self.ending.get(word[j - 2:j], 1), j), 1, -1):
             p = word[j - n:j]
-            if p in self.id and self.fits(last[j - n], p):
-                return p
+            if p in pieces:
+                ok = clean((last[j - n], p))
+                if ok or ok is None and self.fits(last[j - n], p):
+                    return p
         return word[j - 1]
 
     def ids(self, parts: Iterable[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            i = self.id.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "replace")]
-        return np.array(out, "<u4").tobytes()
+        get, byte = self.packed.get, self.byte
+        return b"".join(get(p) or b"".join(byte[b].to_bytes(4, "little") for b in p.encode("utf-8", "replace")) for p in parts)
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct words, by one depth-first walk over their trie."""
@@ -88,8 +98,9 @@ class Pieces:
             while same < most and w[same] == before[same]:
                 same += 1
             del last[same + 1:]
+            step = self.step
             for j in range(same + 1, len(w) + 1):
-                last.append(self.step(w, j, last))
+                last.append(step(w, j, last))
             parts, j = [], len(w)
             while j:
                 parts.append(last[j])
@@ -113,7 +124,7 @@ class Pieces:
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        out = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode() for i in map(int, ids))
+        out = b"".join(map(self.bytes.__getitem__, map(int, ids)))
         return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
@@ -142,7 +153,7 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
             for at in range(0, len(b), 256):
                 part = b.iloc[at:at + 256]
                 found = v.encode(part["text"].tolist())
-                out = pd.DataFrame({"doc_id": part["doc_id"].array, "n_ids": [len(x) for x in found], "ids_crc32": [zlib.crc32(x.tobytes()) for x in found], "round_trip": [v.decode(x) == (t or "") for x, t in zip(found, part["text"], strict=True)]})
+                out = pd.DataFrame({"doc_id": part["doc_id"].array, "n_ids": [len(x) for x in found], "ids_crc32": [zlib.crc32(x.tobytes()) for x in found], "round_trip": [v.decode(x.tolist()) == (t or "") for x, t in zip(found, part["text"], strict=True)]})
                 if ids:
                     out["ids"] = [x.astype(np.int32) for x in found]
                 yield out
