@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelith.llm import line_dedup, packing, quality, scratch, simhash, toxicity
+from voxelith.llm import line_dedup, near_copies, packing, quality, scratch, toxicity
 from voxelith.llm.queries import read, vocabulary
 
 
@@ -21,7 +21,7 @@ def spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
