@@ -102,10 +102,11 @@ class Model:
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The language of each word on the best path. One language holds throughout if no stretch of words wins back
-        a switch for any other; else the recursion runs."""
+        a switch for any other, nor a beginning and an end together: a path without that language has one switch less
+        than stretches, so those two share one. Else the recursion runs."""
         n, best = len(s), int(s.sum(0).argmax())
         run = np.cumsum(np.vstack([np.zeros(s.shape[1]), s - s[:, best:best + 1]]), 0)
-        if (run - np.minimum.accumulate(run, 0)).max() <= SWITCH:
+        if (run - np.minimum.accumulate(run, 0)).max() <= SWITCH and run.max() + (run[-1] - run).max() <= SWITCH:
             return np.full(n, best)
         value, back = s[0].tolist(), []
         for row in s[1:].tolist():
