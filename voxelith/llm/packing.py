@@ -9,6 +9,8 @@ piece and a fullest filling are still there. Pieces are then numbered within the
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,56 +19,75 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
+from .known import Known
 
 CAPACITY = 4096
 END = 1
 #: Pieces of one length that are numbered together.
 SLICE = 50_000
-#: Distinct words that a worker remembers; it starts anew beyond that.
-KNOWN = 150_000
-#: Signs that end a word and never join with letters in a pre-token.
-CLOSING = ".,!?#*$%&"
+# Fixed value: the pattern by which the public word vocabulary splits lower-cased text into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of letters and signs on which Python and the tokenizer agree in letter case, composition and classes, and the
+#: same pattern for them; of its matches, those that also are one pre-token when they stand between blanks.
+LETTERS = "a-zß-öø-ÿ"
+PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
+TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
+ALONE = re.compile(rf"[{LETTERS}]+|[!-/:-@[-`{{-~]+")
+#: What the last piece of a pre-token ends in, pre-tokens that are encoded in one call, and texts that are looked up at once.
+MARKER, TOGETHER, TEXTS = "</w>", 2000, 512
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: A number that tells equal pieces apart, so that they can be dealt over slices.
+SALT = ", salt int"
 
 
 class WordEncoder:
-    """Ids of whole texts from those of their blank-separated words, each encoded once by ``tokenizers``.
+    """Ids of whole texts from those of their parts, each encoded once by ``tokenizers``.
 
-    Right for tokenizers whose pre-tokens hold no white space and whose words end in a marker: the words' ids, one
-    after another, are the text's. Words end at spaces and line feeds; other white space is left to the tokenizer.
-    Texts with an added token's opening ``<|`` are encoded whole.
+    Plain texts are lower-cased and cut into pre-tokens here. Other texts are cut at spaces and line feeds, which no
+    pre-token crosses, and the rest is left to the tokenizer. The parts' ids, one after another, are the text's. Parts are
+    remembered in bounded memory (``known.Known``); those of more than 64 letters are encoded for each batch anew. Texts
+    with an added token's opening ``<|``, and all texts if the vocabulary splits by another pattern than ``PATTERN``, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at:at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """A letter followed by closing signs ends a pre-token, and ASCII case is dropped: only the parts are encoded."""
-        parts = {}
-        for w in words:
-            core = w.rstrip(CLOSING)
-            if core and core[-1].isalpha():
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core):])
-        self._encode(list({x for p in parts.values() for x in p if x not in self.known} | {w for w in words if w not in parts}))
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + self.known[tail]
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(MARKER)]] = True
+        with open(path, encoding="utf-8") as f:
+            self.parted = json.dumps(PATTERN) in f.read()
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that are one pre-token each: many are encoded as one text, and cut at the marked pieces."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at:at + TOGETHER]
+            ids = self._whole([" ".join(some)])[0]
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) != len(some) or ends[-1] != 4 * len(ids):
+                raise ValueError("a pre-token of this vocabulary does not end in one marked piece")
+            raw = ids.tobytes()
+            found.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=False))
+        return found
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws}
-        if len(new) + len(self.known) > KNOWN:
-            self.known.clear()
-        self._learn([w for w in new if w not in self.known])
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u4") if "<|" not in t else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t, ws in zip(texts, split, strict=True)]
+        if not self.parted:
+            return self._whole(texts)
+        cut = [[] if "<|" in t else TOKEN.findall(t.lower()) if PLAIN.fullmatch(t) else t.replace("\n", " ").split(" ") for t in texts]
+        self.known.begin()
+        new = self.known.missing(set().union(*cut))
+        self.known.learn(self._together([p for p in new if ALONE.fullmatch(p)]))
+        rest = [p for p in new if p not in self.known.young]
+        self.known.learn({p: x.tobytes() for p, x in zip(rest, self._whole(rest), strict=True)})
+        get = self.known.young.__getitem__
+        out = [np.frombuffer(b"".join(map(get, parts)), "<u4") if "<|" not in t else self._whole([t])[0] for t, parts in zip(texts, cut, strict=True)]
+        self.known.forget(new)
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -80,24 +101,29 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Cut each document's ids and the end id into pieces of up to ``capacity``."""
+    """Cut each document's ids and the end id into pieces of up to ``capacity``; ``salt`` numbers a task's pieces.
+
+    A document's ids are held at once, however long its text is; texts are taken ``TEXTS`` at a time.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, end = encoder(vocabulary), np.array([END], "<u4")
+        enc, end, made = encoder(vocabulary), np.array([END], "<u4"), 0
         for b in batches:
-            for at in range(0, len(b), 256):
-                part, rows = b.iloc[at:at + 256], []
+            for at in range(0, len(b), TEXTS):
+                part, rows = b.iloc[at:at + TEXTS], []
                 for d, ids in zip(part["doc_id"], enc.ids(part["text"].fillna("").tolist()), strict=True):
                     ids = np.concatenate([ids, end])
                     rows += [(d, k, s, len(x := ids[s:s + capacity]), zlib.crc32(x.tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
+                out["salt"] = np.arange(made, made + len(out)) % (1 << 31)
+                made += len(out)
                 yield out
 
-    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES + SALT)
 
 
 def fullest(room: int, lengths: list[int], count: dict[int, int]) -> list[tuple[int, int]]:
@@ -170,11 +196,11 @@ def places(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.
 def numbered(cut: DataFrame) -> DataFrame:
     """Number the pieces within their length, from 0. A common length is dealt over many slices, which are counted first."""
     most = cut.groupBy("length").count().agg(F.max("count")).first()[0] or 0
-    dealt = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1 + most // SLICE)))
+    dealt = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(1 + most // SLICE)))
     sizes = dealt.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.table(sizes.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = dealt.withColumn("r", F.row_number().over(within) - 1)
     return ranked.join(base, ["length", "slice"]).withColumn("rank", F.col("base") + F.col("r")).drop("slice", "base", "r")
 
