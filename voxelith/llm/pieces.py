@@ -16,15 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import scratch
+from .known import Known
 
 MARK = "▁"
-#: A run of marks and what follows up to the next mark.
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct words that a worker remembers; it starts anew beyond that.
-KNOWN = 150_000
-#: Longer words are not remembered.
-LONG = 64
+#: Letters and signs between which words may be cut, if the vocabulary joins them in no piece.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pairs of neighbouring pieces that a worker remembers; it starts anew beyond that. Texts that are encoded at once.
+PAIRS, TEXTS = 400_000, 512
 
 
 class Pieces:
@@ -47,8 +46,13 @@ class Pieces:
             self.ending[p[-2:]] = max(len(p), self.ending.get(p[-2:], 0))
         self.bytes = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode() for i in range(n)]
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.id)  # no piece has a mark after a letter
+        pairs = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}
+        joined = {p[0] for p in pairs if p[1] in SIGNS}
+        letters = re.escape("".join(c for c in LETTERS if c not in joined))
+        # No piece holds such a letter and a sign after it, so no merge crosses the cut between them.
+        self.word = re.compile(f"{MARK}*+[^{MARK}{letters}]*+[{letters}]++(?=[{re.escape(SIGNS)}])|{MARK}*[^{MARK}]+|{MARK}+" if letters else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.clean: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none is left: for short texts."""
@@ -65,66 +69,70 @@ class Pieces:
         return parts
 
     def fits(self, left: str, right: str) -> bool:
-        key = left, right
-        ok = self.clean.get(key)
-        if ok is None:
-            if len(self.clean) > 4 * KNOWN:
-                self.clean.clear()
-            ok = self.clean[key] = self.merged(left + right) == ([left, right] if left else [right])
+        """Whether two pieces' joined text splits into just these two."""
+        if len(self.clean) > PAIRS:
+            self.clean.clear()
+        ok = self.clean[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return ok
 
-    def step(self, word: str, j: int, last: list[str]) -> str:
-        """The last piece of the encoding of ``word[:j]``, from those of shorter prefixes."""
-        if j == 1:
-            return word[0]
-        clean, pieces = self.clean.get, self.id
-        for n in range(min(self.ending.get(word[j - 2:j], 1), j), 1, -1):
-            p = word[j - n:j]
-            if p in pieces:
-                ok = clean((last[j - n], p))
-                if ok or ok is None and self.fits(last[j - n], p):
-                    return p
-        return word[j - 1]
-
     def ids(self, parts: Iterable[str]) -> bytes:
         get, byte = self.packed.get, self.byte
         return b"".join(get(p) or b"".join(byte[b].to_bytes(4, "little") for b in p.encode("utf-8", "replace")) for p in parts)
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of distinct words, by one depth-first walk over their trie."""
+        """Ids of distinct words, by one depth-first walk over their trie.
+
+        ``last[j]`` is the last piece of the encoding of the first j letters: the longest piece there that splits cleanly
+        from the last piece before it.
+        """
         out, before, last = {}, "", [""]
+        clean, pieces, longest, packed, fits = self.clean.get, self.id, self.ending.get, self.packed, self.fits
         for w in sorted(words):
-            same, most = 0, min(len(w), len(before))
-            while same < most and w[same] == before[same]:
-                same += 1
+            same, size = 0, len(w)
+            if w[:1] == before[:1]:
+                most = min(size, len(before))
+                while same < most and w[same] == before[same]:
+                    same += 1
             del last[same + 1:]
-            step = self.step
-            for j in range(same + 1, len(w) + 1):
-                last.append(step(w, j, last))
-            parts, j = [], len(w)
+            for j in range(same + 1, size + 1):
+                n = longest(w[j - 2:j], 1) if j > 1 else 1
+                if n > j:
+                    n = j
+                while n > 1:
+                    p = w[j - n:j]
+                    if p in pieces:
+                        ok = clean((last[j - n], p))
+                        if ok or ok is None and fits(last[j - n], p):
+                            break
+                    n -= 1
+                last.append(p if n > 1 else w[j - 1])
+            parts, j = [], size
             while j:
-                parts.append(last[j])
-                j -= len(last[j])
-            out[w] = self.ids(reversed(parts))
+                p = last[j]
+                parts.append(p)
+                j -= len(p)
+            parts.reverse()
+            try:
+                out[w] = b"".join([packed[p] for p in parts])
+            except KeyError:  # a letter without a piece goes as its bytes
+                out[w] = self.ids(parts)
             before = w
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts. Words of more than 64 letters are not remembered; what is remembered has a bound in bytes."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        split = [WORD.findall(m) if self.apart else [m] * bool(m) for m in marked]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(new) + len(self.known) > KNOWN:
-            self.known.clear()
-            new = {w for ws in split for w in ws}
-        self.known.update(self.learn(new))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), "<u4") for ws in split]
-        for w in new:
-            if len(w) > LONG:
-                del self.known[w]
+        split = [self.word.findall(m) if self.apart else [m] * bool(m) for m in marked]
+        self.known.begin()
+        new = self.known.missing(set().union(*split))
+        self.known.learn(self.learn(new))
+        get = self.known.young.__getitem__
+        out = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in split]
+        self.known.forget(new)
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        out = b"".join(map(self.bytes.__getitem__, map(int, ids)))
+    def decode(self, ids: list[int]) -> str:
+        out = b"".join(map(self.bytes.__getitem__, ids))
         return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
@@ -150,15 +158,15 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256]
+            for at in range(0, len(b), TEXTS):
+                part = b.iloc[at:at + TEXTS]
                 found = v.encode(part["text"].tolist())
                 out = pd.DataFrame({"doc_id": part["doc_id"].array, "n_ids": [len(x) for x in found], "ids_crc32": [zlib.crc32(x.tobytes()) for x in found], "round_trip": [v.decode(x.tolist()) == (t or "") for x, t in zip(found, part["text"], strict=True)]})
                 if ids:
                     out["ids"] = [x.astype(np.int32) for x in found]
                 yield out
 
-    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -167,6 +175,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "text": [None if x is None else v.decode(x) for x in b["ids"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "text": [None if x is None else v.decode(list(map(int, x))) for x in b["ids"]]})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, text string")
