@@ -10,18 +10,20 @@ MASK = 4294967295
 
 
 def fnv1a64(data: Column) -> Column:
-    """FNV-1a of binary ``data`` as 16 lowercase hex digits; the state is two 32-bit words, so that nothing overflows."""
+    """FNV-1a of binary ``data`` as 16 lowercase hex digits, in time linear in its length; null for null.
+
+    The state is two 32-bit words, so that nothing overflows. Bytes are taken from the hex digits, cut in pairs once.
+    """
     digits = F.hex(data)
-    n = F.length(digits) / 2
-    codes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    pairs = F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))
 
-    def step(s: Column, b: Column) -> Column:
-        low = s["lo"].bitwiseXOR(b)
+    def step(s: Column, pair: Column) -> Column:
+        low = s["lo"].bitwiseXOR(F.conv(pair, 16, 10).cast("bigint"))
         t = low * 435
         return F.struct((F.shiftright(t, 32) + s["hi"] * 435 + F.shiftleft(low, 8)).bitwiseAND(F.lit(MASK)).alias("hi"), t.bitwiseAND(F.lit(MASK)).alias("lo"))
 
     start = F.struct(F.lit(3421674724).cast("bigint").alias("hi"), F.lit(2216829733).cast("bigint").alias("lo"))
-    return F.aggregate(codes, start, step, lambda s: F.lower(F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0"))))
+    return F.aggregate(pairs, start, step, lambda s: F.lower(F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0"))))
 
 
 def to_hex(data: Column) -> Column:
@@ -42,13 +44,26 @@ def index_bits(n: Column) -> Column:
     return F.when(n <= 2, 1).otherwise(F.length(F.bin(n - 1)))
 
 
+def bit_width(n: Column) -> Column:
+    """Bits that hold the number ``n`` itself, one at least."""
+    return F.length(F.bin(F.greatest(n, F.lit(1))))
+
+
 def align(v: Column, to: int) -> Column:
     return v + F.pmod(-v, F.lit(to).cast("bigint"))
 
 
 def flag_bits(names: Column) -> Column:
-    """Sum of the bits of an array of flag names."""
-    return sum((F.when(F.array_contains(names, n), b).otherwise(0) for n, b in FLAGS.items()), F.lit(0))
+    """Sum of the bits of an array of flag names; a name that is no flag's is an error."""
+    known = sum((F.when(F.array_contains(names, n), b).otherwise(0) for n, b in FLAGS.items()), F.lit(0))
+    strange = F.array_except(names, F.array(*map(F.lit, FLAGS)))
+    return F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown registry flag: "), F.get(strange, F.lit(0)))).cast("int")).otherwise(known)
+
+
+def hex_number(text: Column, fallback: Column) -> Column:
+    """An unsigned 64-bit number, as decimal(20, 0), from hex digits with or without ``0x``; else ``fallback``."""
+    digits = F.regexp_replace(text, "^0[xX]", "")
+    return F.coalesce(F.when(digits.rlike("^[0-9A-Fa-f]{1,16}$"), F.conv(digits, 16, 10).cast("decimal(20,0)")), fallback.cast("decimal(20,0)"))
 
 
 def flag_names(bits: Column) -> Column:
@@ -64,7 +79,7 @@ def channels(v: Column) -> list[Column]:
 
 
 def mip_extent(base: Column, level: Column) -> Column:
-    return F.greatest(F.lit(1).cast("bigint"), F.floor(base / F.pow(F.lit(2.0), level)).cast("bigint"))
+    return F.greatest(F.lit(1).cast("bigint"), F.call_function("shiftright", base, level))
 
 
 def is_printable(text: Column) -> Column:

@@ -10,9 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.address import Geometry, convert, locate
-from ..functions.scalar import index_bits
+from ..functions.address import Geometry, convert, floor_div, locate
+from ..functions.scalar import bit_width, index_bits
 
+#: Edge of the cubes in which neighbours meet.
+TILE = 32
 CELL, CHUNK, REGION = ["x", "y", "z"], ["rx", "ry", "rz", "cx", "cy", "cz"], ["rx", "ry", "rz"]
 # Names of the faces of a chunk, with axis and side.
 FACES = {"px": (0, 1), "nx": (0, 0), "py": (1, 1), "ny": (1, 0), "pz": (2, 1), "nz": (2, 0)}
@@ -24,9 +26,17 @@ def located(v: DataFrame, g: Geometry) -> DataFrame:
     return v.select("*", *locate(g))
 
 
+def first_rows(df: DataFrame, key: str) -> DataFrame:
+    """One row for each ``key``, the first by ordinal where there is one: of equal keys the first counts."""
+    rest = [c for c in df.columns if c != key]
+    if "ordinal" not in rest:
+        return df.dropDuplicates([key])
+    return df.groupBy(key).agg(*(F.min_by(c, "ordinal").alias(c) for c in rest if c != "ordinal"))
+
+
 def classified(v: DataFrame, registry: DataFrame) -> DataFrame:
     """With opaque, emissive and special of each voxel; keys that aren't registered are opaque. The first of equal keys counts."""
-    known = registry.groupBy("key").agg(F.min_by("flags", "ordinal").alias("flags"))
+    known = first_rows(registry.select("ordinal", "key", "flags"), "key")
     j = v.join(known, "key", "left")
     return j.select(*v.columns, *(F.coalesce(F.col("flags").bitwiseAND(F.lit(b)) != 0, F.lit(b == 1)).alias(n) for n, b in (("opaque", 1), ("emissive", 2), ("special", 4))))
 
@@ -58,8 +68,18 @@ def gather(probes: DataFrame, v: DataFrame) -> DataFrame:
     return probes.join(v, CELL, "left").select("ordinal", *CELL, F.coalesce("key", F.lit(0)).alias("key"))
 
 
+#: Keys are below this, so that a sequence number and a key make one decimal number.
+KEYS = 4294967296
+
+
 def last_writes(edits: DataFrame) -> DataFrame:
-    return edits.groupBy(*CELL).agg(F.max_by("key", F.struct("seq", "key")).alias("key"))
+    """The last edit of each cell by seq, of equal ones that with the highest key.
+
+    Both make one number, whose maximum is a hash aggregation, partial before the shuffle; a maximum of structs would sort.
+    """
+    order = F.col("seq").cast("decimal(20,0)") * F.lit(KEYS).cast("decimal(11,0)") + F.col("key").cast("decimal(10,0)")
+    last = edits.groupBy(*CELL).agg(F.max(order).alias("order"))
+    return last.select(*CELL, F.pmod("order", F.lit(KEYS).cast("decimal(11,0)")).cast("bigint").alias("key"))
 
 
 def set_voxels(v: DataFrame, edits: DataFrame, g: Geometry, create_missing: bool = True) -> DataFrame:
@@ -88,10 +108,37 @@ def box_cells(spark, low, high, key: int) -> DataFrame:
     return spark.range(sx * sy * sz).select((i % sx + low[0]).alias("x"), (F.floor(i / sx).cast("bigint") % sy + low[1]).alias("y"), (F.floor(i / (sx * sy)).cast("bigint") + low[2]).alias("z"), F.lit(key).cast("bigint").alias("key"))
 
 
-def fill_box(v: DataFrame, low, high, key: int) -> DataFrame:
-    """Key 0 erases by a range predicate, without making the box."""
+def chunks_of(v: DataFrame, g: Geometry) -> DataFrame:
+    """The chunks that hold a voxel."""
+    return located(v, g).select(*CHUNK).distinct()
+
+
+def fill_box(v: DataFrame, low, high, key: int, g: Geometry | None = None, create_missing: bool = True) -> DataFrame:
+    """Write ``key`` to every cell of an inclusive box; 0 erases, by a range predicate, without making the box.
+
+    Without ``create_missing`` (which needs a geometry) only cells of existing chunks are written. A box whose low corner
+    is above its high one is refused, whatever the key.
+    """
+    cells = box_cells(v.sparkSession, low, high, key)
     rest = v.where(~in_box(low, high))
-    return rest if key == 0 else rest.unionByName(box_cells(v.sparkSession, low, high, key))
+    if key == 0:
+        return rest
+    if not create_missing:
+        cells = located(cells, g).join(chunks_of(v, g), CHUNK, "left_semi").select(*CELL, "key")
+    return rest.unionByName(cells)
+
+
+def box_hits(v: DataFrame, low, high, g: Geometry, create_missing: bool = True) -> DataFrame:
+    """(hits): cells that ``fill_box`` counts, the whole volume or the part in existing chunks."""
+    cells = box_cells(v.sparkSession, low, high, 0)
+    if create_missing:
+        return cells.agg(F.count("*").alias("hits"))
+    return located(cells, g).join(chunks_of(v, g), CHUNK, "left_semi").agg(F.count("*").alias("hits"))
+
+
+def replace_bounds(v: DataFrame, low, high, edits: DataFrame, g: Geometry) -> DataFrame:
+    """Clear a box, creating no chunk, then write all ``edits``, also those outside it; key 0 erases."""
+    return set_voxels(fill_box(v, low, high, 0), edits, g)
 
 
 def convert_world(v: DataFrame, source: int, target: int) -> DataFrame:
@@ -107,12 +154,25 @@ def y_runs(v: DataFrame, g: Geometry) -> DataFrame:
 
 
 def exposed_faces(v: DataFrame) -> DataFrame:
-    """(x, y, z, axis, sign, key) of sides with air beyond: a side's two cells meet in one group, so nothing is multiplied but the six sides."""
-    sides = F.array(*(F.struct(F.lit(a).alias("axis"), F.lit(s).cast("int").alias("sign")) for a in range(3) for s in (-1, 1)))
-    e = v.select(*CELL, "key", F.explode(sides).alias("s")).select(*CELL, "key", "s.*")
-    plane = [(F.col(c) + F.when((F.col("axis") == i) & (F.col("sign") == 1), 1).otherwise(0)).alias(f"p{c}") for i, c in enumerate("xyz")]
-    met = e.select("*", *plane).groupBy("px", "py", "pz", "axis").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*CELL, "sign", "key")))
-    return met.where("n = 1").select(*CELL, "axis", "sign", "key")
+    """(x, y, z, axis, sign, key) of sides with air beyond.
+
+    Voxels meet by tile, a cube of ``TILE`` cells; those on a tile's border are sent to the tile beyond too, where they
+    own no face. That is one shuffle of little more than one row a voxel: within a tile, each of the three directions is
+    only another sort.
+    """
+    tile = [floor_div(F.col(a), TILE) for a in CELL]
+    place = [F.pmod(F.col(a), F.lit(TILE).cast("bigint")) for a in CELL]
+
+    def at(axis: int, step: int) -> Column:
+        return F.struct(*((t + (step if i == axis else 0)).alias(f"t{c}") for i, (t, c) in enumerate(zip(tile, CELL, strict=True))), F.lit(step == 0).alias("own"))
+
+    borders = [F.when(place[i] == (0 if step < 0 else TILE - 1), at(i, step)) for i in range(3) for step in (-1, 1)]
+    e = v.select(*CELL, "key", F.explode(F.array_compact(F.array(at(0, 0), *borders))).alias("at")).select(*CELL, "key", "at.*").repartition("tx", "ty", "tz")
+    for a in CELL:
+        w = Window.partitionBy("tx", "ty", "tz", *(c for c in CELL if c != a)).orderBy(a)
+        e = e.withColumn(f"low_{a}", F.lag(a).over(w)).withColumn(f"high_{a}", F.lead(a).over(w))
+    sides = [F.when(b.isNull() | (b != F.col(a) + s), F.struct(F.lit(i).alias("axis"), F.lit(s).alias("sign"))) for i, a in enumerate(CELL) for b, s in ((F.col(f"low_{a}"), -1), (F.col(f"high_{a}"), 1))]
+    return e.where("own").select(*CELL, "key", F.explode(F.array_compact(F.array(*sides))).alias("s")).select(*CELL, "s.axis", "s.sign", "key")
 
 
 def welded(faces: DataFrame) -> DataFrame:
@@ -125,25 +185,35 @@ def welded(faces: DataFrame) -> DataFrame:
 
 
 def colours(v: DataFrame, registry: DataFrame, materials: DataFrame) -> DataFrame:
-    """The material's tint, else the registry's colour, else 0xCCCCCCFF; zero is no colour."""
-    r = registry.join(materials, "material_id", "left").select("key", F.coalesce(F.nullif("tint", F.lit(0)), F.nullif("rgba", F.lit(0))).alias("c"))
-    return v.join(r, "key", "left").select(*CELL, "key", F.coalesce("c", F.lit(0xCCCCCCFF)).alias("rgba"))
+    """The material's tint, else the registry's colour, else 0xCCCCCCFF; zero is no colour. Of equal keys the first counts."""
+    r = first_rows(registry.select("ordinal", "key", "rgba", "material_id"), "key").join(first_rows(materials, "material_id"), "material_id", "left")
+    c = r.select("key", F.coalesce(F.nullif("tint", F.lit(0)), F.nullif("rgba", F.lit(0))).alias("c"))
+    return v.join(c, "key", "left").select(*CELL, "key", F.coalesce("c", F.lit(0xCCCCCCFF)).alias("rgba"))
+
+
+#: More keys than this have no palette.
+PALETTE_KEYS = 65535
 
 
 def codec_sizes(v: DataFrame, g: Geometry) -> DataFrame:
-    """Payload bytes of each chunk under every codec, and the codec that is chosen: the first smallest in a fixed order."""
+    """Payload bytes of each chunk under every codec, and the codec that is chosen: the first smallest in a fixed order.
+
+    Codecs with a palette have no size (null) beyond 65,535 keys. Voxels are located and shuffled once: runs are counted by
+    column and key, and columns and keys are summed from those rows.
+    """
     volume = g.volume
-    keys = located(v, g).groupBy(*CHUNK, "key").agg(F.count("*").alias("n")).groupBy(*CHUNK).agg(F.sum("n").alias("n"), F.count("*").alias("q"))
-    runs = y_runs(v, g)
-    by_column = runs.groupBy(*CHUNK, "lx", "lz").agg(F.count("*").alias("r")).groupBy(*CHUNK).agg(F.sum("r").alias("r"), F.count("*").alias("c"))
-    s = keys.join(by_column, CHUNK).withColumn("p", F.col("q") + (F.col("n") < volume).cast("bigint"))
+    w = Window.partitionBy(*CHUNK, "lx", "lz").orderBy("ly")
+    before = F.lag(F.struct("ly", "key")).over(w)
+    starts = before.isNull() | (before["ly"] != F.col("ly") - 1) | (before["key"] != F.col("key"))
+    by_key = located(v, g).select(*CHUNK, "lx", "lz", "key", starts.cast("bigint").alias("start"), before.isNull().cast("bigint").alias("column")).groupBy(*CHUNK, "key").agg(F.count("*").alias("n"), F.sum("start").alias("r"), F.sum("column").alias("c"))
+    s = by_key.groupBy(*CHUNK).agg(F.sum("n").alias("n"), F.count("*").alias("q"), F.sum("r").alias("r"), F.sum("c").alias("c")).withColumn("p", F.col("q") + (F.col("n") < volume).cast("bigint"))
 
     def packed(items: Column, bits: Column) -> Column:
         return F.ceil(items * bits / 8).cast("bigint")
 
     s = s.select(
-        *CHUNK, "n", "q", F.lit(4 * volume).cast("bigint").alias("raw"), (4 + 4 * F.col("p") + packed(F.lit(volume), index_bits(F.col("p")))).alias("palette"), (4 + 8 * F.col("n")).alias("list"),
-        (8 + 4 * F.col("q") + packed(F.col("n"), index_bits(F.lit(volume))) + packed(F.col("n"), index_bits(F.col("q")))).alias("packed"), (4 + 6 * F.col("c") + 8 * F.col("r")).alias("columns"))
+        *CHUNK, "n", "q", F.lit(4 * volume).cast("bigint").alias("raw"), F.when(F.col("p") <= PALETTE_KEYS, 4 + 4 * F.col("p") + packed(F.lit(volume), bit_width(F.col("p")))).alias("palette"), (4 + 8 * F.col("n")).alias("list"),
+        F.when(F.col("q") <= PALETTE_KEYS, 8 + 4 * F.col("q") + packed(F.col("n"), index_bits(F.lit(volume))) + packed(F.col("n"), index_bits(F.col("q")))).alias("packed"), (4 + 6 * F.col("c") + 8 * F.col("r")).alias("columns"))
     order = (("raw", RAW), ("palette", PALETTE), ("list", LIST), ("packed", PACKED), ("columns", COLUMNS))
     least = F.least(*(F.col(n) for n, _ in order))
     choice = reduce(lambda w, o: w.when(F.col(o[0]) == least, o[1]), order[1:], F.when(F.col("raw") == least, RAW))
@@ -151,6 +221,11 @@ def codec_sizes(v: DataFrame, g: Geometry) -> DataFrame:
     return s.select(*CHUNK, *(n for n, _ in order), F.when(uniform, UNIFORM).otherwise(choice).alias("codec"), F.when(uniform, 4).otherwise(least).cast("bigint").alias("payload"))
 
 
+def only_occupied(codec: Column) -> Column:
+    """Whether a codec describes only occupied voxels, so that the rest may be taken for air."""
+    return codec.isin(EMPTY, LIST, PACKED, COLUMNS)
+
+
 def region_linear(v: DataFrame, g: Geometry) -> DataFrame:
     """Index of each voxel within its region, x fastest."""
     sx, sy, sz = g.span
@@ -165,27 +240,68 @@ def palette_index(v: DataFrame, g: Geometry) -> DataFrame:
 
 
 def running_offsets(sizes: DataFrame) -> DataFrame:
-    """Where each chunk's payload begins in its region's blob."""
+    """Where each chunk's payload begins in its region's blob, if no two share one."""
     w = Window.partitionBy(*REGION).orderBy("cx", "cy", "cz").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(*CHUNK, "payload", F.coalesce(F.sum("payload").over(w), F.lit(0)).alias("offset"))
 
 
-def filled_lines(v: DataFrame) -> DataFrame:
-    """Parity of surface cells along y: the first and second, third and fourth ... of a line enclose cells with the first's key."""
-    w = Window.partitionBy("x", "z").orderBy("y")
-    r = v.select(*CELL, "key", (F.row_number().over(w) - 1).alias("r"), F.lead("y").over(w).alias("end"))
-    pairs = r.where("r % 2 = 0 and `end` is not null")
-    return pairs.select("x", F.explode(F.sequence("y", "end")).alias("y"), "z", "key")
-
-
-def validate(v: DataFrame, registry: DataFrame, materials: DataFrame, g: Geometry) -> DataFrame:
-    """(code, rx .. cz, key): keys in use but not registered, for each chunk; materials that don't exist; air that is registered; repeated keys."""
-    used = located(v, g).select(*CHUNK, "key").distinct()
-    none = [F.lit(None).cast("bigint").alias(c) for c in CHUNK]
-    rules = [
-        used.join(registry.select("key"), "key", "left_anti").select(F.lit(1).alias("code"), *CHUNK, "key"),
-        registry.where("material_id <> 0").join(materials.select("material_id"), "material_id", "left_anti").select(F.lit(2).alias("code"), *none, "key"),
-        registry.where("key = 0").select(F.lit(7).alias("code"), *none, "key"),
-        registry.groupBy("key").count().where("count > 1").select(F.lit(6).alias("code"), *none, "key"),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+def compacted(entries: DataFrame) -> DataFrame:
+    """New offsets for payload ``entries`` (region columns, ordinal, offset, size) of a blob without its dead bytes.
+
+    Entries with the same range share one copy, placed where the first of them stands; a null offset has no payload.
+    """
+    live = entries.where("offset is not null")
+    ranges = live.groupBy(*REGION, "offset", "size").agg(F.min("ordinal").alias("first"))
+    w = Window.partitionBy(*REGION).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    moved = ranges.withColumn("new_offset", F.coalesce(F.sum("size").over(w), F.lit(0))).drop("first")
+    return entries.join(moved, [*REGION, "offset", "size"], "left").select(*REGION, "ordinal", "offset", "size", "new_offset")
+
+
+def reclaimable(entries: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Dead bytes of each region's blob: its size less that of distinct live ranges, never below 0.
+
+    ``blobs``: region columns, blob_size. Entries beyond the blob's end don't count as live.
+    """
+    e = entries.where("offset is not null").select(*REGION, "offset", "size").distinct()
+    live = e.join(blobs, REGION).where(F.col("offset") + F.col("size") <= F.col("blob_size")).groupBy(*REGION).agg(F.sum("size").alias("live"))
+    return blobs.join(live, REGION, "left").select(*REGION, F.greatest(F.col("blob_size") - F.coalesce("live", F.lit(0)), F.lit(0)).alias("reclaimable"))
+
+
+def world_bounds(v: DataFrame, g: Geometry) -> DataFrame:
+    """The inclusive box of cells that the regions in use span, whole regions each; a row of nulls if there is none."""
+    r = v.select(*(floor_div(F.col(a), s).alias(f"r{a}") for a, s in zip("xyz", g.span, strict=True)))
+    return r.agg(*((F.min(f"r{a}") * s).alias(f"{a}0") for a, s in zip("xyz", g.span, strict=True)), *(((F.max(f"r{a}") + 1) * s - 1).alias(f"{a}1") for a, s in zip("xyz", g.span, strict=True)))
+
+
+def _lines(faces: DataFrame) -> DataFrame:
+    """Faces across the axis that most of them lie on (of equals the lowest), ranked along their line: u, v, at, closing, key, r."""
+    axis = faces.groupBy("axis").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "axis").limit(1).select("axis")
+    on = faces.join(F.broadcast(axis), "axis")
+    at = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
+    u, v = F.when(F.col("axis") == 0, F.col("y")).otherwise(F.col("x")), F.when(F.col("axis") == 2, F.col("y")).otherwise(F.col("z"))
+    f = on.select("axis", u.alias("u"), v.alias("v"), at.alias("at"), (F.col("sign") > 0).cast("int").alias("closing"), "key")
+    w = Window.partitionBy("u", "v").orderBy("at", "closing", "key")
+    return f.select("*", (F.row_number().over(w) - 1).alias("r"), F.lead(F.struct("at", "closing")).over(w).alias("then"))
+
+
+def filled_lines(faces: DataFrame) -> DataFrame:
+    """(x, y, z, key): cells enclosed by ``faces`` (x, y, z, axis, sign, key) of a shell, by parity along lines.
+
+    Faces of the axis that most lie on are ordered along each line, openings (sign -1) before closings in one cell. An
+    opening of even rank and the closing right after it enclose the cells between, with the opening's key.
+    """
+    pairs = _lines(faces).where((F.col("r") % 2 == 0) & (F.col("closing") == 0) & (F.col("then.closing") == 1))
+    c = pairs.select("axis", "u", "v", "key", F.explode(F.sequence("at", "then.at")).alias("at"))
+    x, y = F.when(F.col("axis") == 0, F.col("at")).otherwise(F.col("u")), F.when(F.col("axis") == 1, F.col("at")).when(F.col("axis") == 0, F.col("u")).otherwise(F.col("v"))
+    return c.select(x.alias("x"), y.alias("y"), F.when(F.col("axis") == 2, F.col("at")).otherwise(F.col("v")).alias("z"), "key")
+
+
+def unpaired(faces: DataFrame) -> DataFrame:
+    """(unpaired): faces that break the alternation of openings and closings, as an open shell does."""
+    return _lines(faces).agg(F.count_if((F.col("r") % 2 == 0) == (F.col("closing") == 1)).alias("unpaired"))
+
+
+def surface_and_interior(surface: DataFrame, interior: DataFrame) -> DataFrame:
+    """Both cells, the surface's where they meet; key 0 goes."""
+    both = surface.select(*CELL, "key", F.lit(1).alias("seq")).unionByName(interior.select(*CELL, "key", F.lit(0).alias("seq")))
+    return last_writes(both).where("key <> 0")

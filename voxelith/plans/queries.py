@@ -19,11 +19,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 _BASE = f"""
-WITH voxel AS (SELECT l_partkey % 64 - 32 AS x, CAST(l_quantity AS BIGINT) - 20 AS y, l_suppkey % 40 - 20 AS z, arg_max(CAST(l_linenumber AS BIGINT), row(l_orderkey, l_linenumber)) AS key FROM lineitem GROUP BY 1, 2, 3),
+WITH voxel AS (SELECT l_orderkey // 300 - 8 AS x, CAST(l_quantity AS BIGINT) - 20 AS y, l_suppkey % 40 - 20 AS z, arg_max(CAST(l_linenumber AS BIGINT), row(l_orderkey, l_linenumber)) AS key FROM lineitem GROUP BY 1, 2, 3),
 registry(key, flags, rgba, material_id) AS (VALUES {", ".join(f"({a}::BIGINT, {b}, {c}::BIGINT, {d}::BIGINT)" for a, b, c, d in REGISTRY)}),
 material AS (SELECT p_partkey AS material_id, p_size::BIGINT * 65536 + p_partkey % 256 * (p_partkey % 2) AS tint FROM part),
-edit AS (SELECT event_id AS seq, user_id % 64 - 32 AS x, event_id % 50 - 20 AS y, CAST(floor(value) AS BIGINT) % 40 - 20 AS z, event_id % 8 AS key FROM events),
-probe AS (SELECT o_orderkey AS ordinal, o_orderkey % 101 - 50 AS x, o_custkey % 77 - 38 AS y, (o_orderkey + o_custkey) % 63 - 31 AS z FROM orders),
+edit AS (SELECT event_id AS seq, event_id // 200 - 8 AS x, user_id % 50 - 20 AS y, CAST(floor(value) AS BIGINT) % 40 - 20 AS z, event_id % 8 AS key FROM events),
+probe AS (SELECT o_orderkey AS ordinal, o_orderkey // 300 - 10 + o_orderkey % 5 AS x, o_custkey % 77 - 38 AS y, (o_orderkey + o_custkey) % 63 - 31 AS z FROM orders),
 """
 
 
@@ -228,9 +228,9 @@ def q_voxel_colors(spark, d):
     return op.colours(voxels(spark, d), registry(spark), materials(spark, d))
 
 
-@query(_BASE + "one AS (SELECT 1) SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1, count(*) AS n FROM voxel")
+@query(_AT + " SELECT min(rx) * 16 AS x0, min(ry) * 16 AS y0, min(rz) * 16 AS z0, max(rx) * 16 + 15 AS x1, max(ry) * 16 + 15 AS y1, max(rz) * 16 + 15 AS z1 FROM v")
 def q_world_bounds(spark, d):
-    return voxels(spark, d).agg(*(F.min(c).alias(f"{c}0") for c in "xyz"), *(F.max(c).alias(f"{c}1") for c in "xyz"), F.count("*").alias("n"))
+    return op.world_bounds(voxels(spark, d), G)
 
 
 @query(_BASE + "one AS (SELECT 1) SELECT key, count(*) AS n FROM voxel GROUP BY key")
@@ -293,10 +293,19 @@ def q_remove_chunk(spark, d):
     return op.located(voxels(spark, d), G).where("not (rx = 0 and ry = 0 and rz = 0 and cx = 1 and cy = 0 and cz = 1)").select("x", "y", "z", "key")
 
 
-@query(_BASE + f"one AS (SELECT 1), box AS (SELECT x, y, z, key FROM edit WHERE {_IN} AND key <> 0) SELECT * FROM voxel WHERE NOT ({_IN}) UNION ALL SELECT x, y, z, arg_max(key, row(seq, key)) FROM edit WHERE {_IN} AND key <> 0 GROUP BY 1, 2, 3")
+@query(_LAST + f", rest AS (SELECT * FROM voxel WHERE NOT ({_IN})) SELECT x, y, z, coalesce(l.key, r.key) AS key FROM rest r FULL JOIN lw l USING (x, y, z) WHERE coalesce(l.key, r.key) <> 0")
 def q_replace_bounds(spark, d):
-    inside = op.last_writes(edits(spark, d).where(op.in_box(LOW, HIGH) & (F.col("key") != 0)))
-    return op.fill_box(voxels(spark, d), LOW, HIGH, 0).unionByName(inside)
+    return op.replace_bounds(voxels(spark, d), LOW, HIGH, edits(spark, d), G)
+
+
+@query(_AT + f", box AS (SELECT x, y, z FROM {_BOX}), " + _at("box", "b") + f" SELECT * FROM v_rest UNION ALL SELECT x, y, z, 9::BIGINT FROM b WHERE ({_CHUNK}) IN (SELECT ({_CHUNK}) FROM v)".replace("v_rest", f"(SELECT x, y, z, key FROM voxel WHERE NOT ({_IN}))"))
+def q_fill_box_existing(spark, d):
+    return op.fill_box(voxels(spark, d), LOW, HIGH, 9, G, create_missing=False)
+
+
+@query(_AT + f", box AS (SELECT x, y, z FROM {_BOX}), " + _at("box", "b") + f" SELECT count(*) AS hits FROM b WHERE ({_CHUNK}) IN (SELECT ({_CHUNK}) FROM v)")
+def q_box_hits(spark, d):
+    return op.box_hits(voxels(spark, d), LOW, HIGH, G, create_missing=False)
 
 
 @query(_BASE + "one AS (SELECT 1) SELECT x, -z - 1 AS y, y AS z, key FROM voxel")
@@ -310,9 +319,33 @@ def q_y_runs(spark, d):
     return op.y_runs(voxels(spark, d), G)
 
 
-@query(_BASE + "r AS (SELECT *, row_number() OVER (PARTITION BY x, z ORDER BY y) AS r FROM voxel) SELECT a.x, unnest(range(a.y, b.y + 1)) AS y, a.z, a.key FROM r a JOIN r b ON a.x = b.x AND a.z = b.z AND b.r = a.r + 1 WHERE a.r % 2 = 1")
+#: A shell with holes: all faces but those of cells that a hash of their place leaves out.
+_SHELL = _FACES + """, shell AS (SELECT * FROM face WHERE (x + 2 * y + 3 * z + 5 * sign) % 11 <> 0),
+ax AS (SELECT axis FROM shell GROUP BY axis ORDER BY count(*) DESC, axis LIMIT 1),
+f AS (SELECT axis, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS a, CASE axis WHEN 0 THEN y ELSE x END AS u, CASE axis WHEN 2 THEN y ELSE z END AS w, sign > 0 AS closing, key FROM shell JOIN ax USING (axis)),
+r AS (SELECT *, row_number() OVER (PARTITION BY u, w ORDER BY a, closing, key) - 1 AS r FROM f)
+"""
+
+
+def _shell(spark, d) -> DataFrame:
+    return op.exposed_faces(voxels(spark, d)).where("(x + 2 * y + 3 * z + 5 * sign) % 11 <> 0")
+
+
+@query(_SHELL + """SELECT CASE axis WHEN 0 THEN c ELSE u END AS x, CASE axis WHEN 1 THEN c WHEN 0 THEN u ELSE w END AS y, CASE axis WHEN 2 THEN c ELSE w END AS z, key FROM (
+SELECT o.axis, o.u, o.w, o.key, unnest(range(o.a, e.a + 1)) AS c FROM r o JOIN r e ON o.u = e.u AND o.w = e.w AND e.r = o.r + 1 WHERE o.r % 2 = 0 AND NOT o.closing AND e.closing)""")
 def q_fill_interior(spark, d):
-    return op.filled_lines(voxels(spark, d))
+    return op.filled_lines(_shell(spark, d))
+
+
+@query(_SHELL + "SELECT count(*) FILTER ((r % 2 = 0) = closing) AS unpaired FROM r")
+def q_unpaired_faces(spark, d):
+    return op.unpaired(_shell(spark, d))
+
+
+@query(_LAST + """, surface AS (SELECT * FROM lw), interior AS (SELECT * FROM voxel)
+SELECT x, y, z, coalesce(s.key, i.key) AS key FROM surface s FULL JOIN interior i USING (x, y, z) WHERE coalesce(s.key, i.key) <> 0""")
+def q_union_surface(spark, d):
+    return op.surface_and_interior(op.last_writes(edits(spark, d)), voxels(spark, d))
 
 
 @query(_AT + f" SELECT {_CHUNK}, key, row_number() OVER (PARTITION BY {_CHUNK} ORDER BY min(li)) - 1 AS i FROM v GROUP BY {_CHUNK}, key")
@@ -327,7 +360,7 @@ def q_region_linear(spark, d):
 
 _SIZES = _AT + f""", i AS (SELECT *, ly - row_number() OVER (PARTITION BY {_CHUNK}, lx, lz, key ORDER BY ly) AS g FROM v),
 n AS (SELECT {_CHUNK}, count(*) AS n, count(DISTINCT key) AS q, count(DISTINCT key) + CASE WHEN count(*) < 512 THEN 1 ELSE 0 END AS p, count(DISTINCT row(lx, lz, key, g)) AS r, count(DISTINCT row(lx, lz)) AS c FROM i GROUP BY {_CHUNK}),
-w AS (SELECT *, CASE WHEN p <= 2 THEN 1 ELSE length(bin(p - 1)) END AS pb, CASE WHEN q <= 2 THEN 1 ELSE length(bin(q - 1)) END AS qb FROM n),
+w AS (SELECT *, length(bin(p)) AS pb, CASE WHEN q <= 2 THEN 1 ELSE length(bin(q - 1)) END AS qb FROM n),
 z AS (SELECT {_CHUNK}, n = 512 AND q = 1 AS uniform, 2048::BIGINT AS raw, 4 + 4 * p + (512 * pb + 7) // 8 AS palette, 4 + 8 * n AS list, 8 + 4 * q + (9 * n + 7) // 8 + (qb * n + 7) // 8 AS packed, 4 + 6 * c + 8 * r AS columns FROM w),
 size AS (SELECT *, CASE WHEN uniform THEN 2 WHEN raw <= least(palette, list, packed, columns) THEN 6 WHEN palette <= least(list, packed, columns) THEN 3 WHEN list <= least(packed, columns) THEN 4 WHEN packed <= columns THEN 7 ELSE 5 END AS codec, CASE WHEN uniform THEN 4 ELSE least(raw, palette, list, packed, columns) END AS payload FROM z)
 """
@@ -344,10 +377,44 @@ def q_codec_anatomy(spark, d):
 
 
 @query(_SIZES + f" SELECT {_CHUNK}, payload, CAST(coalesce(sum(payload) OVER (PARTITION BY rx, ry, rz ORDER BY cx, cy, cz ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM size")
-def q_compact_offsets(spark, d):
+def q_layout_offsets(spark, d):
     return op.running_offsets(op.codec_sizes(voxels(spark, d), G))
 
 
+#: Payload entries as edits leave them: every third chunk shares the range of the chunk before it, every seventh has none.
+_ENTRIES = _SIZES + f""", laid AS (SELECT *, row_number() OVER w - 1 AS ordinal, CAST(coalesce(sum(payload) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM size WINDOW w AS (PARTITION BY rx, ry, rz ORDER BY cx, cy, cz)),
+shared AS (SELECT *, CASE WHEN ordinal % 3 = 2 THEN lag(pos) OVER w ELSE pos END AS pos2, CASE WHEN ordinal % 3 = 2 THEN lag(payload) OVER w ELSE payload END AS size2 FROM laid WINDOW w AS (PARTITION BY rx, ry, rz ORDER BY ordinal)),
+entry AS (SELECT rx, ry, rz, ordinal, CASE WHEN ordinal % 7 <> 5 THEN pos2 END AS "offset", CASE WHEN ordinal % 7 <> 5 THEN size2 END AS size FROM shared),
+blob AS (SELECT rx, ry, rz, CAST(sum(payload) AS BIGINT) AS blob_size FROM size GROUP BY 1, 2, 3)
+"""
+
+
+def _entries(spark, d) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    sizes = op.codec_sizes(voxels(spark, d), G).select(*op.CHUNK, "payload")
+    w = Window.partitionBy(*op.REGION).orderBy("cx", "cy", "cz")
+    laid = sizes.select(*op.REGION, "payload", (F.row_number().over(w) - 1).cast("bigint").alias("ordinal"), F.coalesce(F.sum("payload").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    o = Window.partitionBy(*op.REGION).orderBy("ordinal")
+    third, there = F.col("ordinal") % 3 == 2, F.col("ordinal") % 7 != 5
+    shared = laid.select(*op.REGION, "ordinal", F.when(third, F.lag("at").over(o)).otherwise(F.col("at")).alias("at"), F.when(third, F.lag("payload").over(o)).otherwise(F.col("payload")).alias("n"))
+    entries = shared.select(*op.REGION, "ordinal", F.when(there, F.col("at")).alias("offset"), F.when(there, F.col("n")).alias("size"))
+    return entries, sizes.groupBy(*op.REGION).agg(F.sum("payload").alias("blob_size"))
+
+
+@query(_ENTRIES + """, range AS (SELECT rx, ry, rz, "offset", size, min(ordinal) AS first FROM entry WHERE "offset" IS NOT NULL GROUP BY ALL),
+moved AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY rx, ry, rz ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_offset FROM range)
+SELECT rx, ry, rz, ordinal, "offset", size, new_offset FROM entry LEFT JOIN moved USING (rx, ry, rz, "offset", size)""")
+def q_compact_offsets(spark, d):
+    return op.compacted(_entries(spark, d)[0])
+
+
+@query(_ENTRIES + """ SELECT rx, ry, rz, CAST(greatest(blob_size - coalesce(live, 0), 0) AS BIGINT) AS reclaimable FROM blob LEFT JOIN (
+SELECT rx, ry, rz, sum(size) AS live FROM (SELECT DISTINCT rx, ry, rz, "offset", size FROM entry WHERE "offset" IS NOT NULL) e JOIN blob USING (rx, ry, rz) WHERE "offset" + size <= blob_size GROUP BY 1, 2, 3) USING (rx, ry, rz)""")
+def q_reclaimable(spark, d):
+    return op.reclaimable(*_entries(spark, d))
+
+
 @query(_AT + f" SELECT {_CHUNK}, row_number() OVER (PARTITION BY rx, ry, rz ORDER BY cx, cy, cz) - 1 AS ordinal FROM (SELECT DISTINCT {_CHUNK} FROM v)")
 def q_chunk_ordinals(spark, d):
     from pyspark.sql import Window
@@ -356,9 +423,6 @@ def q_chunk_ordinals(spark, d):
     return chunks.select("*", (F.row_number().over(Window.partitionBy(*op.REGION).orderBy("cx", "cy", "cz")) - 1).cast("bigint").alias("ordinal"))
 
 
-@query(_AT + f""" SELECT DISTINCT 1 AS code, {_CHUNK}, key FROM v WHERE key NOT IN (SELECT key FROM registry)
-UNION ALL SELECT 2, NULL, NULL, NULL, NULL, NULL, NULL, key FROM registry WHERE material_id <> 0 AND material_id NOT IN (SELECT material_id FROM material)
-UNION ALL SELECT 7, NULL, NULL, NULL, NULL, NULL, NULL, key FROM registry WHERE key = 0
-UNION ALL SELECT 6, NULL, NULL, NULL, NULL, NULL, NULL, key FROM registry GROUP BY key HAVING count(*) > 1""")
-def q_validate_deep(spark, d):
-    return op.validate(voxels(spark, d), registry(spark), materials(spark, d), G)
+@query(_SIZES + f" SELECT {_CHUNK}, codec, codec IN (1, 4, 5, 7) AS only_occupied FROM size")
+def q_codec_class(spark, d):
+    return op.codec_sizes(voxels(spark, d), G).select(*op.CHUNK, "codec", op.only_occupied(F.col("codec")).alias("only_occupied"))

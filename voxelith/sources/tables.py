@@ -13,23 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(x, y, z, key): one row a cell, of the writers the last by order number and key."""
+    """(x, y, z, key): one row a cell, of the writers the last by order number and key.
+
+    The world is 50 cells high, 40 deep and grows along x with the orders, at much the same density. A line number is
+    below 8, so order and key make one number, and its maximum is a plain hash aggregation.
+    """
     w = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") % 64 - 32).alias("x"), (F.col("l_quantity").cast("bigint") - 20).alias("y"), (F.col("l_suppkey") % 40 - 20).alias("z"),
-        F.col("l_orderkey").alias("seq"), F.col("l_linenumber").cast("bigint").alias("key"))
-    return w.groupBy("x", "y", "z").agg(F.max_by("key", F.struct("seq", "key")).alias("key"))
+        (F.expr("l_orderkey div 300") - 8).alias("x"), (F.col("l_quantity").cast("bigint") - 20).alias("y"), (F.col("l_suppkey") % 40 - 20).alias("z"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("order"))
+    return w.groupBy("x", "y", "z").agg((F.max("order") % 8).alias("key"))
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, x, y, z, key); key 0 erases."""
+    """(seq, x, y, z, key); key 0 erases. Edits move along x as the world grows; about one in ten hits a cell again."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), (F.col("user_id") % 64 - 32).alias("x"), (F.col("event_id") % 50 - 20).alias("y"),
+        F.col("event_id").alias("seq"), (F.expr("event_id div 200") - 8).alias("x"), (F.col("user_id") % 50 - 20).alias("y"),
         (F.floor("value").cast("bigint") % 40 - 20).alias("z"), (F.col("event_id") % 8).alias("key"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ordinal, x, y, z): cells in and around the world."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select(o.alias("ordinal"), (o % 101 - 50).alias("x"), (c % 77 - 38).alias("y"), ((o + c) % 63 - 31).alias("z"))
+    return table(spark, sf_dir, "orders").select(o.alias("ordinal"), (F.expr("o_orderkey div 300") - 10 + o % 5).alias("x"), (c % 77 - 38).alias("y"), ((o + c) % 63 - 31).alias("z"))
 
 
 def registry(spark: SparkSession) -> DataFrame:
