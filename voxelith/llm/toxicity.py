@@ -192,9 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield pd.DataFrame({"toxic": b["toxic"].array, "hits": [sorted(index[f] for f in features(t) if f in index) for t in b["text"]]})
 
-    seen = rows.mapInPandas(vote, "toxic int, hits array<int>").orderBy("hits", "toxic").toPandas()
+    seen = rows.mapInPandas(vote, "toxic int, hits array<int>").toPandas()
     scratch.drop(docs.sparkSession, rows)
-    toxic, hits = seen["toxic"].to_numpy(int) == 1, [set(map(int, h)) for h in seen["hits"]]
+    seen = sorted((tuple(map(int, h)), int(y)) for h, y in zip(seen["hits"], seen["toxic"], strict=True))  # the same order in every run
+    toxic, hits = np.array([y for _, y in seen], int) == 1, [set(h) for h, _ in seen]
     if not any(h and y for h, y in zip(hits, toxic, strict=True)):
         return Model({w: i for i, w in enumerate(LEXICON)}, np.full(len(LEXICON), 1.0), -4.0)
     return learn(names, hits, toxic)
