@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelith.functions import address, scalar
 from voxelith.functions.address import Geometry
 from voxelith.operators import voxel as op
-from voxelith.plans.queries import ORACLE, QUERIES
+from voxelith.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 CELLS = "x bigint, y bigint, z bigint, key bigint"
@@ -100,7 +100,7 @@ def test_empty_world(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "pages", "embeddings"):
+    for t in ("part", "orders", "lineitem", "events", "pages", "embeddings", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA), con.execute(ORACLE[name])
     columns = [c[0] for c in want.description]

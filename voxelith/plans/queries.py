@@ -126,13 +126,6 @@ def q_points_to_cells(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *(F.floor((F.get(e, F.lit(i)).cast("double") - 0.5) / 0.25).cast("bigint").alias(a) for i, a in enumerate("xyz")))
 
 
-def q_fnv1a64(spark, d):
-    return table(spark, d, "pages").select("page_id", scalar.fnv1a64(F.col("url").cast("binary")).alias("hash"))
-
-
-QUERIES["q_fnv1a64"] = q_fnv1a64
-
-
 @query(_BASE + "one AS (SELECT 1) SELECT * FROM edit WHERE key <> 0")
 def q_non_air(spark, d):
     return edits(spark, d).where("key <> 0")
@@ -288,11 +281,6 @@ def q_erase_box(spark, d):
     return op.fill_box(voxels(spark, d), LOW, HIGH, 0)
 
 
-@query(_AT + " SELECT x, y, z, key FROM v WHERE NOT (rx = 0 AND ry = 0 AND rz = 0 AND cx = 1 AND cy = 0 AND cz = 1)")
-def q_remove_chunk(spark, d):
-    return op.located(voxels(spark, d), G).where("not (rx = 0 and ry = 0 and rz = 0 and cx = 1 and cy = 0 and cz = 1)").select("x", "y", "z", "key")
-
-
 @query(_LAST + f", rest AS (SELECT * FROM voxel WHERE NOT ({_IN})) SELECT x, y, z, coalesce(l.key, r.key) AS key FROM rest r FULL JOIN lw l USING (x, y, z) WHERE coalesce(l.key, r.key) <> 0")
 def q_replace_bounds(spark, d):
     return op.replace_bounds(voxels(spark, d), LOW, HIGH, edits(spark, d), G)
