@@ -414,3 +414,14 @@ def q_chunk_ordinals(spark, d):
 @query(_SIZES + f" SELECT {_CHUNK}, codec, codec IN (1, 4, 5, 7) AS only_occupied FROM size")
 def q_codec_class(spark, d):
     return op.codec_sizes(voxels(spark, d), G).select(*op.CHUNK, "codec", op.only_occupied(F.col("codec")).alias("only_occupied"))
+
+
+@query("SELECT p_partkey, '0x' || printf('%X', p_partkey * 1048576 + 10) AS u FROM part")
+def q_u64_hex(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.u64_hex(F.col("p_partkey") * 1048576 + 10).alias("u"))
+
+
+@query(_AT + " SELECT DISTINCT cx, cy, cz, cx + cy * 65536 + cz * 4294967296 AS chunk_key FROM v")
+def q_chunk_key(spark, d):
+    c = op.located(voxels(spark, d), G).select("cx", "cy", "cz").distinct()
+    return c.select("*", address.chunk_key(F.col("cx"), F.col("cy"), F.col("cz")).alias("chunk_key"))

@@ -1,6 +1,6 @@
 """A stream of edits (seq, x, y, z, key) applied batch by batch to a world kept as Parquet.
 
-The reference engine has no streams; this is an extension. A world is a directory of voxels partitioned by region. A batch
+An extension beside the batch operators. A world is a directory of voxels partitioned by region. A batch
 reads and rewrites only the regions that its edits touch, so its cost follows the edits and not the world.
 """
 
