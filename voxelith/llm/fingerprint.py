@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .split import about
+
 WORDS, K = 5, 256
-#: Ids in a block of neighbours at least, and blocks at most: the table of blocks is small enough to broadcast.
-BLOCK, BLOCKS = 64, 1 << 18
+#: Documents in a block of neighbours, about, at least; blocks at most, so that their table is small enough to broadcast;
+#: ids from a sample of which blocks are bounded, for each block.
+BLOCK, BLOCKS, SAMPLE = 64, 1 << 15, 16
 SPAN = 2.0 ** 64
 
 
@@ -62,23 +65,44 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def _block(bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` doc_id has reached: a search by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    top = 1 << (len(bounds) - 1).bit_length()
+    steps = F.array(*(F.lit(max(1, top >> i)) for i in range(top.bit_length())))
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+
+
+def _bounds(ids: DataFrame) -> list[int]:
+    """Ids that cut ``ids`` (doc_id) into blocks of about equally many documents.
+
+    They are quantiles of a sample of at most about ``SAMPLE`` distinct ids a block, chosen by hash. Any bounds give the
+    same result, so the sample only sets how even the work is.
+    """
+    n = ids.count()
+    blocks = min(BLOCKS, n // BLOCK)
+    if blocks < 2:
+        return []
+    sample = sorted(r["doc_id"] for r in about(ids, SAMPLE * blocks, n, F.col("doc_id")).distinct().collect())
+    return sorted({sample[len(sample) * i // blocks] for i in range(1, blocks)}) if sample else []
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next): next is the text of the following doc_id; after the last, of the first. Rows without a
     doc_id have none; of rows that repeat one, each is followed by the next row by text.
 
-    Ids fall in blocks of equal width, so texts move once, to their block. The first document of each block is also sent
-    to the block before, over a table of at most ``BLOCKS`` rows, whose size is what lets it be broadcast.
+    Ids fall in blocks of about equally many documents, so texts move once, to their block, however the ids are spread.
+    The first document of each block is also sent to the block before, over a table of at most ``BLOCKS`` rows, whose size
+    is what lets it be broadcast.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high = d.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(BLOCK, (high - low) // BLOCKS + 1)
-    # Subtracting may pass the range of a bigint when ids span all of it: decimals don't.
-    block = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("bigint") if high - low >= 1 << 62 else F.expr(f"(doc_id - {low}L) div {width}L")
+    block = _block(_bounds(d.select("doc_id").where("doc_id is not null"))).cast("bigint")
     heads = d.where("doc_id is not null").groupBy(block.alias("block")).agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("block")
     whole = Window.partitionBy(F.lit(0))
-    before = heads.select("head", F.coalesce(F.lag("block").over(order), F.max("block").over(whole)).alias("before"), F.lag("block").over(order).isNull().alias("wraps"))
+    before = heads.select("head", F.coalesce(F.lag("block").over(order), F.max("block").over(whole)).alias("before"))
     placed = d.where("doc_id is not null").withColumn("block", block)
     tails = placed.join(F.broadcast(before), F.col("doc_id") == F.col("head")).select("doc_id", "text", F.col("before").alias("block"), F.lit(1).alias("tail"))
     w = Window.partitionBy("block").orderBy("tail", "doc_id", "text")
@@ -91,7 +115,7 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every row of ``docs`` (doc_id, text; further columns are ignored) and of an edited text.
 
     The edited text has its last quarter replaced by the beginning of the next document. Null and empty texts have an
-    empty fingerprint. A null doc_id has no next document: its edited text ends where the quarter is cut, and near_next
+    empty fingerprint; texts of any length are sketched whole. A null doc_id has no next document: its edited text ends where the quarter is cut, and near_next
     is null. An empty table gives an empty table.
     """
     d = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint"))
