@@ -164,6 +164,37 @@ def test_rays_cross_a_closed_box_twice(spark):
     assert {r["cell"] for r in mesh.span_cells(mesh.paired(hits), line).collect()} == {0, 1, 2, 3}
 
 
+def box_mesh(spark, low, high):
+    corners = [(x, y, z) for x in (low[0], high[0]) for y in (low[1], high[1]) for z in (low[2], high[2])]
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    tri = [(i, *(float(c) for k in t for c in corners[k])) for i, q in enumerate(quads) for t in ((q[0], q[1], q[2]), (q[0], q[2], q[3]))]
+    return spark.createDataFrame(tri, "face bigint, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+
+
+@pytest.mark.parametrize("convention", [address.Y_UP, address.Z_UP, address.Z_BACK])
+def test_a_box_is_voxelized_in_any_convention(spark, convention):
+    f = mesh.Frame((0.5, 1.0, 1.0), (0.25, 0.0, 0.0), convention)
+    t = box_mesh(spark, (0.25, 1.0, -2.0), (2.25, 4.0, 2.0))
+    got = mesh.voxelized(t, f)
+    assert got.count() == 4 * 3 * 4 and got.agg(F.min("x"), F.max("x")).first()[:] == (0, 3)
+    centre = f.to_points([F.col(c) for c in "xyz"])
+    assert got.where((centre[1] < 1.0) | (centre[1] > 4.0) | (centre[2] < -2.0) | (centre[2] > 2.0)).count() == 0
+    assert {r["x"] for r in mesh.voxelized(t, f, surface_only=True).collect()} == {0, 4} and mesh.voxelized(t.limit(0), f).count() == 0
+    with pytest.raises(ValueError):
+        mesh.voxelized(t, f, limit=10)
+
+
+def test_a_cube_mesh_is_imported_solid(spark):
+    f = mesh.Frame(convention=address.Z_UP)
+    faces = [(i, a, s, *[0.0 if (k != a or s < 0) else 3.0 for k in range(3)], *[3.0 if (k != a or s > 0) else 0.0 for k in range(3)]) for i, (a, s) in enumerate((a, s) for a in range(3) for s in (-1, 1))]
+    table = spark.createDataFrame(faces, "face bigint, axis int, sign int, lx double, ly double, lz double, hx double, hy double, hz double")
+    keys = table.select("face", F.lit(2).cast("bigint").alias("key"))
+    old = spark.createDataFrame([(1, 1, 1, 9), (8, 8, 8, 9), (3, 3, 3, 9)], CELLS)
+    got = mesh.import_mesh(old, table, keys, f, G, bounds=((0, 0, 0), (3, 3, 3)))
+    assert rows(got) == {(x, y, z, 2) for x in range(3) for y in range(3) for z in range(3)} | {(8, 8, 8, 9)}
+    assert mesh.import_mesh(old.limit(0), table, keys, f, G, solid=False).count() == 26
+
+
 @pytest.mark.parametrize("convention", [address.Y_UP, address.Z_UP, address.Z_BACK])
 def test_face_windings_point_outward(convention):
     f = mesh.Frame((1.0, 2.0, 0.5), (0.0, 0.0, 0.0), convention)

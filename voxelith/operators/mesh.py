@@ -11,8 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.address import Y_UP, Z_UP, convert
-from .voxel import CELL
+from ..functions.address import Y_UP, Z_UP, Geometry, convert
+from .voxel import CELL, filled_lines, last_writes, replace_bounds, set_voxels, surface_and_interior
 
 #: A normal is along an axis from here on; a face is flat up to this share of a voxel; its probe stands this far inside.
 STRAIGHT, FLAT, INSET = 0.999, 1e-3, 0.25
@@ -108,6 +108,47 @@ def rasterized(ranges: DataFrame, limit: int | None = None) -> DataFrame:
     return out.select(*rest, *CELL)
 
 
+def import_mesh(v: DataFrame, faces: DataFrame, keys: DataFrame, f: Frame, g: Geometry, solid: bool = True, bounds: tuple | None = None, limit: int | None = 16_000_000) -> DataFrame:
+    """``v`` with the cells of a voxel-shaped mesh written to it.
+
+    ``faces`` as for ``face_cells``, ``keys`` (face, key). Cells behind faces take their face's key, of several the last
+    face's; with ``solid``, what the faces enclose is filled, and the surface wins where they meet. ``bounds`` (low, high):
+    a box that is cleared first.
+    """
+    shell = rasterized(face_cells(faces, f).join(keys, "face"), limit)
+    surface = last_writes(shell.select(F.col("face").alias("seq"), *CELL, "key"))
+    cells = surface_and_interior(surface, filled_lines(shell.select(*CELL, "axis", "sign", "key"))) if solid else surface.where("key <> 0")
+    edits = cells.select(F.lit(0).alias("seq"), *CELL, "key")
+    return replace_bounds(v, *bounds, edits, g) if bounds else set_voxels(v, edits, g)
+
+
+def voxelized(triangles: DataFrame, f: Frame, surface_only: bool = False, limit: int = 8_000_000) -> DataFrame:
+    """(x, y, z, face): cells of a closed mesh of ``triangles`` (face, ax .. cz), by rays along x through the centres of
+    lines of cells; with ``surface_only`` just the cells that the surface passes along x.
+
+    Cells between a crossing and the next belong to it. A box of more than ``limit`` cells is refused.
+    """
+    points = triangles.select(F.explode(F.array(*(F.struct(*(F.col(f"{p}{c}").alias(c) for c in CELL)) for p in "abc"))).alias("p")).select("p.*")
+    box = cell_box(points, f).first()
+    if box["x0"] is None:
+        return triangles.limit(0).select(*(F.lit(0).cast("bigint").alias(c) for c in CELL), "face")
+    low, high = [box[f"{c}0"] for c in CELL], [box[f"{c}1"] for c in CELL]
+    nx, ny, nz = (b - a + 1 for a, b in zip(low, high, strict=True))
+    if nx * ny * nz > limit:
+        raise ValueError(f"the mesh's box holds {nx * ny * nz} cells, more than {limit}")
+    line = triangles.sparkSession.range(ny * nz).select(F.col("id").alias("ray"), (F.col("id") % ny + low[1]).alias("cy"), (F.expr(f"id div {ny}") + low[2]).alias("cz"))
+    centre = f.to_points([F.lit(low[0]), F.col("cy"), F.col("cz")])
+    rays = line.select("ray", centre[1].alias("y"), centre[2].alias("z"))
+    hits = crossings(rays, triangles, max(f.extent()))
+    first = f.origin[0] + low[0] * f.size[0]
+    if surface_only:
+        found = surface_cells(hits, first, f.size[0], nx)
+    else:
+        cells = hits.select("ray").distinct().select("ray", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx - 1).cast("bigint"))).alias("cell"))
+        found = span_cells(paired(hits), cells.withColumn("x", F.lit(first) + (F.col("cell") + 0.5) * F.lit(f.size[0])), 64 * f.size[0])
+    return found.join(line, "ray").select((F.col("cell") + low[0]).alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "face")
+
+
 def cell_box(points: DataFrame, f: Frame) -> DataFrame:
     """(x0 .. z1): the cells that the points (x, y, z) of an object span."""
     c = f.to_cells([F.col(a) for a in CELL])

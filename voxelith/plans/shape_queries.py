@@ -334,3 +334,18 @@ def q_hex_numbers(spark, d):
 @query(_AT + " SELECT key, count(*) AS n, sum(li) AS s FROM v WHERE key IN (SELECT key FROM registry) GROUP BY key")
 def q_registered_voxels(spark, d):
     return op.located(voxels(spark, d), G).join(registry(spark).select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"), F.sum("li").alias("s"))
+
+
+_IMPORTED = _RANGE + """, raster AS (SELECT face, axis, sign, x, y, unnest(range(z0, z1 + 1)) AS z, face % 7 + 1 AS key FROM (SELECT face, axis, sign, z0, z1, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT face, axis, sign, y0, y1, z0, z1, unnest(range(x0, x1 + 1)) AS x FROM cells))),
+surface AS (SELECT x, y, z, arg_max(key, face) AS key FROM raster GROUP BY 1, 2, 3),
+ax AS (SELECT axis FROM raster GROUP BY axis ORDER BY count(*) DESC, axis LIMIT 1),
+f AS (SELECT axis, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS a, CASE axis WHEN 0 THEN y ELSE x END AS u, CASE axis WHEN 2 THEN y ELSE z END AS w, sign > 0 AS closing, key FROM raster JOIN ax USING (axis)),
+r AS (SELECT *, row_number() OVER (PARTITION BY u, w ORDER BY a, closing, key) - 1 AS r FROM f),
+inside AS (SELECT CASE axis WHEN 0 THEN c ELSE u END AS x, CASE axis WHEN 1 THEN c WHEN 0 THEN u ELSE w END AS y, CASE axis WHEN 2 THEN c ELSE w END AS z, max(key) AS key FROM (SELECT o.axis, o.u, o.w, o.key, unnest(range(o.a, e.a + 1)) AS c FROM r o JOIN r e ON o.u = e.u AND o.w = e.w AND e.r = o.r + 1 WHERE o.r % 2 = 0 AND NOT o.closing AND e.closing) GROUP BY 1, 2, 3),
+new AS (SELECT x, y, z, coalesce(s.key, i.key) AS key FROM surface s FULL JOIN inside i USING (x, y, z)), """
+
+
+@query(_IMPORTED + _BASE.strip().removeprefix("WITH ") + """ one AS (SELECT 1) SELECT x, y, z, coalesce(n.key, v.key) AS key FROM voxel v FULL JOIN new n USING (x, y, z)""")
+def q_import_mesh(spark, d):
+    faces = _faces(spark, d)
+    return mesh.import_mesh(voxels(spark, d), faces, faces.select("face", (F.col("face") % 7 + 1).alias("key")), FRAME, G, limit=None)
