@@ -313,6 +313,27 @@ def test_scene_graph_is_flattened_and_placed(spark):
     assert got == want and mesh.scene(instances, models, voxels).agg(F.min("x"), F.min("y"), F.min("z")).first()[:] == (0, 0, 0)
 
 
+def test_a_scene_becomes_a_world(spark):
+    rng = np.random.default_rng(4)
+    s = scene.Scene(models=[((5, 6, 7), np.unique(np.column_stack([rng.integers(0, 5, 60), rng.integers(0, 6, 60), rng.integers(0, 7, 60)]), axis=0))])
+    cells_ = s.models[0][1]
+    s.models[0] = (5, 6, 7), np.column_stack([cells_, rng.integers(1, 4, len(cells_))]).astype(np.uint8)
+    s.palette = rng.integers(0, 256, (256, 4)).astype(np.uint8)
+    f = spark.createDataFrame([("m.vox", bytearray(scene.emit(s)))], "path string, content binary")
+    rows = worlds.converted_scene(f, 4).collect()
+    r = files.opened(bytes(rows[0]["content"]))
+    m = world.described(r.world)
+    got = np.concatenate(list(cells.cells_of(r, m.geometry)))
+    assert len(rows) == 1 and len(got) == len(cells_) and got[:, :3].min() == 0 and [e.key for e in m.registry] == sorted({int(k) for k in s.models[0][1][:, 3]})
+    x, y, z, colour = s.models[0][1].astype(int).T
+    want = np.column_stack([x, z, -y - 1, colour])
+    want[:, :3] -= want[:, :3].min(0)
+    assert {tuple(map(int, t)) for t in got} == {tuple(map(int, t)) for t in want}
+    assert all(e.rgba == max(1, int.from_bytes(bytes(s.palette[e.key - 1].tolist()), "big")) for e in m.registry)
+    with pytest.raises(worlds.WorldError):
+        worlds.converted_scene(spark.createDataFrame([("e.vox", bytearray(scene.emit(scene.Scene())))], "path string, content binary"))
+
+
 @pytest.mark.parametrize("data", [b"", b"VOX", b"VOX \x96\0\0\0XYZI\x04\0\0\0\0\0\0\0\0\0\0\0", graph()[:-4], b"VOX \x96\0\0\0SIZE\xff\0\0\0\0\0\0\0"])
 def test_broken_scenes_are_refused(data):
     with pytest.raises(scene.SceneError):

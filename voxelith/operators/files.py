@@ -208,3 +208,17 @@ def texture_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
             table("subresources", *same("texture", "mip", "layer", "extent_x", "extent_y", "extent_z", "blob_offset", "blob_size")),
             table("materials", *same("albedo", "normal", "orm", "emissive", "tint", id="material_id")),
             table("blob", *same("blob_bytes")))
+
+
+def palettes(files: DataFrame) -> DataFrame:
+    """(path, key, rgba) of ``.vox`` files: colour 1 is the palette's first entry; 0 would be no colour, so 1 stands for it."""
+    from ..formats import scene
+
+    def read(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                p = scene.parse(bytes(content)).palette.astype(np.int64)
+                rgba = p[:, 0] << 24 | p[:, 1] << 16 | p[:, 2] << 8 | p[:, 3]
+                yield pd.DataFrame({"path": path, "key": np.arange(1, 256), "rgba": np.maximum(rgba[:255], 1)})
+
+    return files.select("path", "content").mapInPandas(read, "path string, key bigint, rgba bigint")

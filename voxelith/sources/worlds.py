@@ -283,3 +283,23 @@ def standalone(v: DataFrame, registry: DataFrame, m: mf.Manifest) -> DataFrame:
 
     counted = made.join(F.broadcast(made.agg(F.count("*").alias("n"))))
     return counted.select(one.alias("path"), "content").mapInPandas(embed, "path string, content binary")
+
+
+def converted_scene(files_: DataFrame, edge: int = 16, hidden: bool = False) -> DataFrame:
+    """(path, content): the world that stands alone of one ``.vox`` file (path, content), in chunks of ``edge`` cells.
+
+    Its one region is the scene's box, which begins at zero; its registry has the colours in use, opaque. ``hidden``:
+    convert what the scene hides too. A scene without a voxel is refused.
+    """
+    from ..operators import mesh
+
+    instances, models, voxels = files.scenes(files_)
+    v = mesh.scene(instances.withColumn("hidden", F.lit(False)) if hidden else instances, models, voxels)
+    top = v.agg(*(F.max(c) for c in "xyz")).first()
+    if top[0] is None:
+        raise WorldError("a scene without a voxel")
+    used = v.select("key").distinct().join(files.palettes(files_), "key").orderBy("key").collect()
+    g = Geometry((edge,) * 3, tuple(int(t) // edge + 1 for t in top))
+    m = mf.Manifest(g, registry=[mf.Entry(int(r["key"]), 0, 1, "", 0, int(r["rgba"])) for r in used])
+    registry = v.sparkSession.createDataFrame([(i, e.key, e.flags) for i, e in enumerate(m.registry)], "ordinal int, key bigint, flags int")
+    return standalone(v, registry, m)
