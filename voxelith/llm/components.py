@@ -9,7 +9,7 @@ from . import scratch
 
 def _lowest(edges: DataFrame) -> DataFrame:
     """The lowest neighbour of each ``a``. Spread anew, so that the join that follows deals both sides itself and can split a hub's rows."""
-    return edges.groupBy("a").agg(F.min("b").alias("m")).repartition(edges.sparkSession.sparkContext.defaultParallelism)
+    return edges.groupBy("a").agg(F.min("b").alias("m")).repartition(scratch.parts(edges.sparkSession))
 
 
 def _large(edges: DataFrame) -> DataFrame:

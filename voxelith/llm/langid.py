@@ -13,6 +13,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from . import scratch
 from .known import Known
 from .split import SCALE, held_out
 
@@ -199,7 +200,7 @@ def fit(docs: DataFrame) -> Model:
     the texts then counts n-grams into a fixed number of buckets. With no labelled row the model knows no language and
     answers ``und``; with more than ``LANGUAGES`` languages this raises, rather than leave any out.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    rows = scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: the model has no room for them")
@@ -228,7 +229,7 @@ def fit(docs: DataFrame) -> Model:
             yield pd.DataFrame({"what": np.full(len(l), what, np.int32), "l": l.astype(np.int32), "i": i.astype(np.int32), "n": x[l, i].astype(np.int64)})
 
     grid, seen = np.zeros((BUCKETS, len(names))), np.zeros((len(names), len(_KINDS)))
-    for r in sample.mapInPandas(count, "what int, l int, i int, n bigint").groupBy("what", "l", "i").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sample.mapInPandas(scratch.tidy(count), "what int, l int, i int, n bigint").groupBy("what", "l", "i").agg(F.sum("n").alias("n")).toLocalIterator():
         if r["what"]:
             seen[r["l"], r["i"]] = r["n"]
         else:
@@ -260,7 +261,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                     out["spans"] = [[{"start": a, "end": z, "lang": l} for a, z, l in x[2]] for x in found]
                 yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scratch.tidy(run), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
 TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
 ALONE = re.compile(rf"[{LETTERS}]+|[!-/:-@[-`{{-~]+")
 #: What the last piece of a pre-token ends in, pre-tokens that are encoded in one call, and texts that are looked up at once.
-MARKER, TOGETHER, TEXTS = "</w>", 2000, 512
+MARKER, TOGETHER, TEXTS = "</w>", 2000, 2000
+#: Bytes of parts that a worker remembers in each of two generations.
+ROOM = 48_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: A number that tells equal pieces apart, so that they can be dealt over slices.
 SALT = ", salt int"
@@ -53,7 +55,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known(ROOM)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(MARKER)]] = True
         with open(path, encoding="utf-8") as f:
@@ -90,14 +92,9 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return scratch.loaded(("words", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -123,7 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                 made += len(out)
                 yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES + SALT)
+    return scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scratch.tidy(cut, ("words", vocabulary)), PIECES + SALT)
 
 
 def fullest(room: int, lengths: list[int], count: dict[int, int]) -> list[tuple[int, int]]:
@@ -209,8 +206,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     """Pack ``docs`` (doc_id, text; further columns are ignored) into sequences of at most ``capacity`` tokens.
 
     Returns one row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts
-    are one piece that holds the end id alone. Only documents longer than ``capacity`` are cut. Rows that repeat a
-    doc_id are packed each; a null doc_id stays null. An empty table gives an empty table. To the driver comes one count
+    are one piece that holds the end id alone. Only documents longer than ``capacity`` are cut, whatever their length.
+    Rows that repeat a doc_id are packed each; a null doc_id stays null. An empty table gives an empty table. To the driver comes one count
     for each length, at most ``capacity`` of them.
     """
     cut = scratch.table(pieces(docs, vocabulary, capacity))
@@ -231,4 +228,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
             yield b.drop(columns="rank").assign(sequence_id=seq, offset=off)
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return numbered(cut).select(*columns, "rank").mapInPandas(place, PIECES + ", sequence_id bigint, offset bigint")
+    return numbered(cut).select(*columns, "rank").mapInPandas(scratch.tidy(place), PIECES + ", sequence_id bigint, offset bigint")

@@ -1,5 +1,7 @@
 """SentencePiece encoding and decoding by a forward pass over a trie of distinct marked words.
 
+The public vocabulary is BPE, whose encoding is not the path of the highest sum of scores, so a Viterbi pass over scores
+would give other ids than the library. What takes the place of the best score here follows from the merges themselves.
 Merges of a BPE vocabulary never cross a boundary between two pieces whose joined text splits into just these two. So
 the encoding of every prefix ends in one piece only: the one that stands after the encoding of a shorter prefix and
 splits cleanly from that one's last piece. The forward pass keeps this last piece for each prefix. Words are sorted and
@@ -16,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import scratch
 from .known import Known
 
 MARK = "▁"
@@ -136,21 +139,16 @@ class Pieces:
         return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def vocabulary(path: str) -> Pieces:
     """One per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return scratch.loaded(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text; further columns are ignored) and decode it again.
 
     Returns doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip (the decoded text equals the
-    text), and with ``ids`` the ids. Null and empty texts have no id. Texts that hold the mark itself decode to blanks
+    text), and with ``ids`` the ids. Null and empty texts have no id; texts of any length are encoded whole. Texts that hold the mark itself decode to blanks
     there, and then round_trip is false. Repeated rows are each encoded; an empty table gives an empty table.
     """
     schema = "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<int>" * ids
@@ -166,15 +164,15 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                     out["ids"] = [x.astype(np.int32) for x in found]
                 yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scratch.tidy(run, ("pieces", path)), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) of rows (doc_id, ids); null ids give a null text, repeated rows are each decoded, none gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "text": [None if x is None else v.decode(list(map(int, x))) for x in b["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(scratch.tidy(run, ("pieces", path)), "doc_id bigint, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,8 +63,11 @@ def statistics(text: str | None) -> tuple[int, ...]:
 def stats(text: Column) -> Column:
     """The columns of ``STATS`` as a struct."""
     @F.pandas_udf(STATS)
-    def measured(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in text], columns=[c.split()[0] for c in STATS.split(", ")])
+    def measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scratch.forget()
+        for text in texts:
+            yield pd.DataFrame([statistics(t) for t in text], columns=[c.split()[0] for c in STATS.split(", ")])
+        scratch.release()
 
     return measured(text)
 
@@ -167,7 +171,8 @@ def fit(measured: DataFrame, labels: DataFrame) -> list[tuple[Literal, ...]]:
     """Learn from ``measured`` (doc_id and the statistics) and ``labels`` (doc_id, quality: 0 low, 1 good).
 
     Held-out and unlabelled rows, and rows that fail the base rules, teach nothing; of several labels of a document the
-    lowest counts. About ``SAMPLE`` rows at most come to the driver, eleven numbers each. No label: no rule.
+    lowest counts. About ``SAMPLE`` rows at most come to the driver, eleven numbers each. At most ``RULES`` rules of at most
+    ``LITERALS`` thresholds are learned, each threshold one of ``CUTS`` quantiles. No label: no rule.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -178,14 +183,20 @@ def fit(measured: DataFrame, labels: DataFrame) -> list[tuple[Literal, ...]]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), stats(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
+    """doc_id and the statistics of every row of ``docs``: of whole texts, whatever their length; null texts count nothing.
+
+    Repeated rows are measured each, a null doc_id stays null, an empty table gives an empty table, further columns are
+    ignored.
+    """
+    return scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), stats(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict of every row of ``docs`` (doc_id, text; further columns are ignored).
 
-    Returns doc_id, the statistics, base_failed, kept. Null texts count nothing and fail the base rules. Repeated rows
-    are each judged; an empty table gives an empty table.
+    Returns doc_id, the statistics, base_failed, kept. Null texts count nothing and fail the base rules. Texts of any
+    length are counted whole. Repeated rows are each judged, alike if their texts are; a null doc_id stays null; an empty
+    table gives an empty table.
     """
     measured = scratch.table(measure(docs))
     rules = fit(measured, labels)
@@ -193,10 +204,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose verdict is to keep, all columns; measured once to learn and once to filter."""
+    """The rows of ``docs`` whose verdict is to keep, all columns, whatever their names; measured once to learn and once to
+    filter.
+
+    Null and empty texts fail the base rules and go, repeated rows go or stay alike, an empty table stays empty.
+    """
     rules = fit(measure(labelled_only(docs, labels)), labels)
     free = next(n for n in ("s", *(f"s_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
-    own = docs.withColumn(free, stats(F.col("text").cast("string")))
+    own = scratch.lean(docs).withColumn(free, stats(F.col("text").cast("string")))
     names = [c.split()[0] for c in STATS.split(", ")]
     test = verdict(rules)
     if set(names) & set(docs.columns):  # the rules name plain columns: judge the struct alone, so that names cannot clash
@@ -206,4 +221,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def labelled_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of ``docs`` that have a label, each once however many labels it has; null ids have none."""
     return docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")

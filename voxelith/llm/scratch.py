@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
 
@@ -12,9 +15,14 @@ _made: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in local tests."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only in a session of one process that sets none.
+
+    On a cluster the setting must name a folder that all share: without it this raises.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="voxelith-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -29,14 +37,71 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """``df``, whose session from now on sends Python workers at most ``rows`` rows at once: whole texts can be long."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+def parts(spark: SparkSession) -> int:
+    """Partitions that the session shuffles into: as many for what is spread anew."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes that a Python worker is sent at once, at most; a single longer row still goes whole.
+BATCH = 4 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python workers at most ``BATCH`` bytes at once.
+
+    Whole texts can be long, and Spark's own bound of 64 MB is held several times over in each worker. The setting
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session is lowered, never raised, and stays so: results are
+    evaluated after the call. It changes no result.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", (conf.get(name, None) or "").lower())
+    if not now or int(now[1]) << 10 * " kmg".index(now[2] or " ") > BATCH:
+        conf.set(name, str(BATCH))
     return df
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and several wait beside an executor."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_loaded: dict[tuple, object] = {}
+
+
+def loaded(key: tuple, make):
+    """What ``make`` makes for ``key``, once in a worker. A worker keeps one such thing: another key takes its place."""
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = make()
+    return _loaded[key]
+
+
+def tidy(run, keep: tuple | None = None):
+    """``run``, a function from batches to batches, that releases memory when its task ends.
+
+    Workers go from operator to operator: what another one has loaded, under another key than ``keep``, goes first.
+    """
+    @functools.wraps(run)
+    def inner(batches):
+        forget(keep)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def forget(keep: tuple | None = None) -> None:
+    if keep not in _loaded:
+        _loaded.clear()
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -98,7 +98,7 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row of ``docs``."""
-    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_fingerprints, "doc_id bigint, fp bigint")
+    return scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scratch.tidy(_fingerprints), "doc_id bigint, fp bigint")
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,9 +118,9 @@ def links(nodes: DataFrame) -> DataFrame:
     keys would give pairs in the square of a group's size: there, each fingerprint visits the 65 values within one bit of
     it, and those that meet at a value, never more than 65 and all within two bits of each other, link to the lowest.
     """
-    keyed = scratch.table(nodes.mapInPandas(_keys, "key bigint, fp bigint, head bigint"))
+    keyed = scratch.table(nodes.mapInPandas(scratch.tidy(_keys), "key bigint, fp bigint, head bigint"))
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.table(keyed.join(size.repartition(keyed.sparkSession.sparkContext.defaultParallelism), "key"))
+    met = scratch.table(keyed.join(size.repartition(scratch.parts(keyed.sparkSession)), "key"))
     few = met.where(F.col("n") <= WIDE).select("key", "fp", "head")
     a, b = few.toDF("key", "fa", "a"), few.toDF("key", "fb", "b")
     pairs = a.join(b, "key").where("fa < fb and bit_count(fa ^ fb) <= 2").select("a", "b")
@@ -135,10 +135,12 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of every row of ``docs`` (doc_id, text; further columns are ignored).
 
-    Returns (doc_id, fingerprint, component_id): 16 lowercase hex digits, and the lowest doc_id reachable over links of
+    Links are found by Golay keys; only fingerprints under a key that more than ``WIDE`` of them share, as a great group of
+    near copies has, meet at the values one bit from each instead, which finds the same links without pairing the group
+    off. Texts of any length are hashed whole. Returns (doc_id, fingerprint, component_id): 16 lowercase hex digits, and the lowest doc_id reachable over links of
     two or fewer differing bits. Null, empty and blank texts have fingerprint zero and link like any other. doc_id is
-    taken to be unique; rows that repeat it each get their own fingerprint and its component. A row whose doc_id is null has a fingerprint and the component null, and links
-    nothing. An empty table gives an empty table.
+    taken to be unique; rows that repeat it each get their own fingerprint and its component. A row whose doc_id is null
+    has a fingerprint and the component null, and links nothing. An empty table gives an empty table.
     """
     fps = scratch.table(fingerprints(docs))
     nodes = scratch.table(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("head")))
@@ -149,6 +151,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that head their component, and those without doc_id; all columns."""
+    """The rows of ``docs`` that head their component, and those without doc_id; all columns, whatever their names.
+
+    Null and blank texts are copies of each other; repeated rows of a head all stay; an empty table stays empty.
+    """
     heads = scratch.table(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
     return docs.join(heads, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -16,29 +16,31 @@ BLOCK = 1024
 # Fixed value: the pattern that splits text before the merges of the public 50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encodings: dict[tuple[str, str], object] = {}
-
-
 def encoding(path: str, pattern: str):
     """A byte-level BPE read from a rank file; one per worker process."""
-    if (path, pattern) not in _encodings:
+    def make():
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path, pattern] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path, pattern]
+        return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return scratch.loaded(("bytes", path, pattern), make)
 
 
 def lengths(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, n_tokens) of every whole text; a null or empty text has no token."""
+    """(doc_id, n_tokens) of every whole text, of any length; a null or empty text has no token.
+
+    Repeated rows are counted each, a null doc_id stays null, an empty table gives an empty table, further columns are
+    ignored.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(vocabulary, pattern).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "n_tokens": np.array([len(encode(t)) if t else 0 for t in b["text"]], np.int64)})
 
-    return scratch.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scratch.tidy(count, ("bytes", vocabulary, pattern)), "doc_id bigint, n_tokens bigint")
 
 
 def histogram(counts: DataFrame) -> DataFrame:
@@ -82,5 +84,9 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
-    """Suffix sums over the lengths of all ``docs`` (doc_id, text; further columns are ignored). Repeated rows count each."""
+    """Suffix sums over the lengths of all ``docs`` (doc_id, text; further columns are ignored).
+
+    Null and empty texts have length 0, texts of any length count whole, repeated rows count each, an empty table gives an
+    empty table.
+    """
     return suffix_sums(scratch.table(histogram(lengths(docs, vocabulary, pattern))))

@@ -136,9 +136,8 @@ def choose(hits: list[set[int]], toxic: np.ndarray, count: int) -> list[int]:
         i = max(gains, key=lambda k: (gains[k] - 8 * wrong[k], k))
         now = int((need[by[i]] > 0).sum())
         if now != gains[i]:
-            gains[i] = now  # a guess that went stale
-            if now:
-                continue
+            gains[i] = now  # a guess that went stale: the best may be another
+            continue
         if now - 8 * wrong[i] < SUPPORT - 1:
             break
         chosen.append(i)
@@ -171,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     y = F.col("toxic").cast("int")
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), y.alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = scratch.table(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         if found:
             yield pd.DataFrame({"f": found, "yes": [yes[f] for f in found], "no": [no[f] for f in found]})
 
-    counts = rows.mapInPandas(count, "f string, yes bigint, no bigint").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counts = rows.mapInPandas(scratch.tidy(count), "f string, yes bigint, no bigint").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     found = counts.where((F.col("yes") >= SUPPORT) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no")))).orderBy(F.desc(F.col("yes") - 4 * F.col("no")), "f").limit(CANDIDATES).collect()
     names = list(dict.fromkeys([*LEXICON, *(r["f"] for r in found)]))
     index = {f: i for i, f in enumerate(names)}
@@ -192,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield pd.DataFrame({"toxic": b["toxic"].array, "hits": [sorted(index[f] for f in features(t) if f in index) for t in b["text"]]})
 
-    seen = rows.mapInPandas(vote, "toxic int, hits array<int>").toPandas()
+    seen = rows.mapInPandas(scratch.tidy(vote), "toxic int, hits array<int>").toPandas()
     scratch.drop(docs.sparkSession, rows)
     seen = sorted((tuple(map(int, h)), int(y)) for h, y in zip(seen["hits"], seen["toxic"], strict=True))  # the same order in every run
     toxic, hits = np.array([y for _, y in seen], int) == 1, [set(h) for h, _ in seen]
@@ -203,8 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_udf(model: Model):
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in text], dtype=float)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scratch.forget()
+        for text in texts:
+            yield pd.Series([model.score(t) for t in text], dtype=float)
+        scratch.release()
 
     return score
 
@@ -216,7 +218,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     its distinct words. Equal texts have equal scores. Repeated rows are each scored; a null doc_id stays null and counts
     as held out; an empty table gives an empty table.
     """
-    s = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_udf(model)(F.col("text").cast("string")).alias("score"))
+    s = scratch.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), score_udf(model)(F.col("text").cast("string")).alias("score"))
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -226,4 +228,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are kept, repeated rows are each kept or dropped alike, an empty table stays empty.
     """
     model = fit(docs, labels)
-    return docs.where(score_udf(model)(F.col("text").cast("string")) < 0.5)
+    return scratch.lean(docs).where(score_udf(model)(F.col("text").cast("string")) < 0.5)
