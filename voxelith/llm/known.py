@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
-#: Bytes of words and of what is kept for them, about, in each of two generations.
-ROOM = 16_000_000
+#: Bytes of words and of what is kept for them, about, in each of two generations; more where a word takes long.
+ROOM, MUCH = 16_000_000, 48_000_000
 #: Of an entry beside its word's letters: two objects' heads and a place in a dict.
 HEAD = 160
 #: Words with more letters than this are never remembered for long.

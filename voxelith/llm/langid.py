@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
-from .known import Known
+from .known import MUCH, Known
 from .split import SCALE, held_out
 
 # First code points of script blocks, in order; "" is shared or unlisted.
@@ -103,7 +103,7 @@ class Model:
     languages: list[str]
     logs: np.ndarray  # buckets x languages
     scripts: list[set[str]]
-    known: Known = field(default_factory=Known)
+    known: Known = field(default_factory=lambda: Known(MUCH))
 
     def __post_init__(self):
         self.users = np.array([[k in s for s in self.scripts] for k in _KINDS], bool).reshape(len(_KINDS), len(self.languages))

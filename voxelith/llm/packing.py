@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
-from .known import Known
+from .known import MUCH, Known
 
 CAPACITY = 4096
 END = 1
@@ -35,8 +35,6 @@ TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t-\r {LETTER
 ALONE = re.compile(rf"[{LETTERS}]+|[!-/:-@[-`{{-~]+")
 #: What the last piece of a pre-token ends in, pre-tokens that are encoded in one call, and texts that are looked up at once.
 MARKER, TOGETHER, TEXTS = "</w>", 2000, 2000
-#: Bytes of parts that a worker remembers in each of two generations.
-ROOM = 48_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: A number that tells equal pieces apart, so that they can be dealt over slices.
 SALT = ", salt int"
@@ -55,7 +53,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Known(ROOM)
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known(MUCH)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(MARKER)]] = True
         with open(path, encoding="utf-8") as f:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
-from .known import Known
+from .known import MUCH, Known
 
 MARK = "▁"
 #: Letters and signs between which words may be cut, if the vocabulary joins them in no piece.
@@ -55,7 +55,7 @@ class Pieces:
         # No piece holds such a letter and a sign after it, so no merge crosses the cut between them.
         self.word = re.compile(f"{MARK}*+[^{MARK}{letters}]*+[{letters}]++(?=[{re.escape(SIGNS)}])|{MARK}*[^{MARK}]+|{MARK}+" if letters else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.clean: dict[tuple[str, str], bool] = {}
-        self.known = Known()
+        self.known = Known(MUCH)
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none is left: for short texts."""
